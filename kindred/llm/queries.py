@@ -75,6 +75,6 @@ GROUP BY 1 HAVING count(DISTINCT s.split) > 1""",
   FROM documents WHERE text IS NOT NULL),
   g AS (SELECT doc_id, i, array_to_string(ws[i:i+3], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 2)) AS i FROM w)),
   again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, gram) AS first FROM g) WHERE i > first),
-  marked AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2, i + 3]) AS at FROM again) GROUP BY doc_id)
+  marked AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2, i + 3]) AS pos FROM again) GROUP BY doc_id)
 SELECT m.doc_id FROM marked m JOIN w ON w.doc_id = m.doc_id WHERE m.n >= 0.3 * len(w.ws) - 1e-9""",
 }
