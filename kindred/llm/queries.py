@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import brands, components, repetition, splits, truncation
+from kindred.llm import brands, components, listings, repetition, splits, truncation
 from kindred.plans.tables import records, table
 from kindred.session import stored
 
@@ -17,6 +17,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return components.groups(table(spark, d, "mappings").select("left_rid", "right_rid"))
 
 
+def _listing_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "listings").select("rid", "title", "description", "brand", "model")
+    return listings.group_listings(rows, table(spark, d, "brand_list"), table(spark, d, "target_units"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return listings.pairs(stored(_listing_groups(spark, d), "products"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _listing_groups(spark, d)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return brands.map_brands(records(spark, d, "rid", "brand"), table(spark, d, "brand_list"))
 
@@ -54,7 +67,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p5_found, p5_unmatched, p6_found, p6_splits, p7_found, p7_rates, p10_found, p10_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_groups, p5_found, p5_unmatched, p6_found, p6_splits, p7_found, p7_rates, p10_found, p10_shares)}
 
 _CLEAN = "nullif(upper(regexp_replace({0}, '\\s+', '', 'g')), '')"
 _GROUPS = f"""
