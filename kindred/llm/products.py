@@ -94,9 +94,13 @@ def family_words(rows: DataFrame, brand_list: DataFrame, brand_share: float = 0.
     family = F.col("listed").isNull() & (F.col("in_brand") <= brand_share * F.col("df")) & (F.col("top") >= own * F.col("known"))
     words = stored(words.filter(F.length("word") >= 4).select("word", "df", family.alias("is_family")), "words")
     less = lambda w: F.explode(F.concat(F.array(w), F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))))
-    right = words.filter("length(word) >= 5").select(F.col("word").alias("meant"), F.col("df").alias("meant_df"), "is_family", less(F.col("word")).alias("cut"))
-    wrong = words.filter("length(word) >= 5 and df <= 3").select("word", "df", less(F.col("word")).alias("cut"))
-    slips = wrong.join(right, "cut").filter("meant_df > df or (meant_df = df and meant > word)").filter((F.col("meant_df") > 2) & (F.levenshtein("word", "meant") <= 2) | (F.levenshtein("word", "meant") == 1))
+    right = words.filter("length(word) >= 4").select(F.col("word").alias("meant"), F.col("df").alias("meant_df"), "is_family", less(F.col("word")).alias("cut"))
+    wrong = words.filter("length(word) >= 4 and df <= 3").select("word", "df", less(F.col("word")).alias("cut"))
+    letters = lambda w: F.array_sort(F.split(w, ""))
+    one = (F.levenshtein("word", "meant") == 1) | (letters(F.col("word")) == letters(F.col("meant")))  # or two letters swapped
+    far = (F.levenshtein("word", "meant") <= 2) & (F.col("meant_df") > 2) & (F.length("word") >= 6)
+    slips = wrong.join(right, "cut").filter("meant_df > df or (meant_df = df and meant > word)")
+    slips = slips.filter((one & ((F.length("word") >= 6) | (F.col("meant_df") > 5 * F.col("df")))) | far)
     slips = slips.groupBy("word").agg(F.max(F.struct("meant_df", "meant", "is_family")).alias("best")).select("word", "best.*")
     kept = words.filter("is_family").join(slips.select("word"), "word", "left_anti").select("word", F.col("word").alias("family"), "df")
     return kept.unionByName(slips.filter("is_family").select("word", F.col("meant").alias("family"), F.col("meant_df").alias("df")))

@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import brands, components, listings, repetition, splits, truncation
+from kindred.llm import brands, components, listings, matching, repetition, splits, truncation
 from kindred.plans.tables import records, table
 from kindred.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    columns = ("rid", "title", "description", "brand", "model")
+    left, right = table(spark, d, "catalog_left").select(*columns), table(spark, d, "catalog_right").select(*columns)
+    pairs = matching.match(left, right, table(spark, d, "gold_mapping"), table(spark, d, "brand_list"), table(spark, d, "target_units"))
+    return matching.matches(pairs).select("left_rid", "right_rid", "confidence")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_matches(spark, d).select("left_rid", "right_rid")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return components.groups(table(spark, d, "mappings").select("left_rid", "right_rid"))
 
@@ -67,7 +78,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_groups, p5_found, p5_unmatched, p6_found, p6_splits, p7_found, p7_rates, p10_found, p10_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p3_found, p3_groups, p5_found, p5_unmatched, p6_found, p6_splits, p7_found, p7_rates, p10_found, p10_shares)}
 
 _CLEAN = "nullif(upper(regexp_replace({0}, '\\s+', '', 'g')), '')"
 _GROUPS = f"""
