@@ -89,20 +89,25 @@ _LABELLED = rf"\b(?:{_LABEL}(?: in | ?\(| ?\[|/)|measurements in |dimensions: (?
 _COMPOUND = rf"{_START}\d+ ?(?:(?:feet|foot|ft|'|’|′)\.? ?(?:and )?{_NUM} ?(?:inch(?:es)?\b|in\b|''|\"|”|″)|(?:lbs?|pounds?)\.? ?(?:and )?{_NUM} ?(?:oz|ounces?)\b)"
 _SIDES = rf"{_START}{_NUM}(?: ?[x×] ?{_NUM})+[ -]?{_UNIT}"
 _MINUS = r"(?:minus |(?<![\p{L}\p{N}] |[\p{L}\p{N})])[-−–](?=[\d.]))"
-_SINGLE = rf"(?:{_MINUS})?(?:{_START}{_NUM}|\b(?:{_WORDS}))(?: ?- ?| )?{_UNIT}"
+_GAP = r"(?: ?- ?| )?"
 #: model codes, three letters and four digits written in many ways; short words that may stand before a number are no code
 _CODE = (
-    r"(?<![\p{L}\p{N}])(?!(?i:can|rug|rod|pan|gun|pot|bin|cam|box|day|new|top|hot|out|for|and|the|set|now) )"
+    r"(?=[A-Za-z]{3}[-/ \d])(?<![\p{L}\p{N}])(?!(?i:can|rug|rod|pan|gun|pot|bin|cam|box|day|new|top|hot|out|for|and|the|set|now) )"
     r"(?:[A-Z]{3}|[a-z]{3})(?:[-/ ]?\d{4}|[-/ ]\d{2}-\d{2})(?:[-/ ]?[A-Za-z])?(?![\p{L}\p{N}]|[.,]\d)"
 )
-PHRASE = rf"(?i)(?:{_LABELLED}|{_COMPOUND}|{_SIDES}|{_SINGLE})"
+#: each alternative looks at one letter first, so most places of a text are passed over at once
+PHRASE = (
+    rf"(?i)(?:(?=[\d.{_FRACTION}])(?:{_COMPOUND}|{_SIDES}|{_START}{_NUM}{_GAP}{_UNIT})"
+    rf"|(?=[-−–m]){_MINUS}{_START}{_NUM}{_GAP}{_UNIT}"
+    rf"|(?=[nwmpslhdcvt]){_LABELLED}|(?=[otfsne])\b(?:{_WORDS})(?:-| ){_UNIT})"
+)
 
 
 def clean(text: Column) -> Column:
     """Markup to blanks, every kind of blank to one blank."""
     text = F.regexp_replace(text, r"<[^<>]{0,40}>|&nbsp;", " ")
     text = F.replace(F.replace(text, F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-    text = F.regexp_replace(text, r"[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}]+", " ")
+    text = F.regexp_replace(text, r"\s{2,}|[\n\t\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}]+", " ")
     return F.regexp_replace(text, _CODE, "#")
 
 
