@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import brands, components, listings, matching, repetition, splits, truncation
+from kindred.llm import brands, components, listings, matching, mixing, packing, repetition, splits, truncation
 from kindred.plans.tables import records, table
 from kindred.session import stored
 
@@ -70,6 +70,22 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(texts, truncation.truncated(texts))
 
 
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "pack_sizes"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_pack(spark, d), table(spark, d, "pack_sizes"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents").select("doc_id", "source", "text"), table(spark, d, "source_weights"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents").select("doc_id", "source", "text"), table(spark, d, "source_weights"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -78,7 +94,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p3_found, p3_groups, p5_found, p5_unmatched, p6_found, p6_splits, p7_found, p7_rates, p10_found, p10_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p3_found, p3_groups, p5_found, p5_unmatched, p6_found, p6_splits, p7_found, p7_rates, p8_pack, p8_fill, p9_mixture, p9_shares, p10_found, p10_shares)}
 
 _CLEAN = "nullif(upper(regexp_replace({0}, '\\s+', '', 'g')), '')"
 _GROUPS = f"""
