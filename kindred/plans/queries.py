@@ -1,20 +1,296 @@
-"""Named queries of the core, each a plan over the tables in a folder."""
+"""Named queries of the core, each a plan over whole tables in a folder."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kindred.operators import units
+from kindred.functions import similarity as S
+from kindred.functions import text as T
+from kindred.operators import blocking, catalog, decide, evaluate, graph, judge, learn, pairs, report, units
+from kindred.plans import oracle, pipeline
 from kindred.plans.tables import records, table
+from kindred.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = oracle.ORACLES
 
 
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "catalog_left"), table(spark, d, "catalog_right")
+
+
+def _records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(stored(catalog.build_records(catalog.one_row_each(c)), "records") for c in _both(spark, d))
+
+
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "gold_mapping").select("left_rid", "right_rid", "label").distinct()
+
+
+def _true(spark: SparkSession, d: str) -> DataFrame:
+    return _gold(spark, d).filter("label = 1").select("left_rid", "right_rid")
+
+
+@query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     spellings = units.unit_table(spark, table(spark, d, "target_units"))
     return units.quantities(records(spark, d, "rid", "title", "description"), "rid", ["title", "description"], spellings)
 
 
-QUERIES: dict[str, Query] = {"p4_found": p4_found}
+@query
+def p4_spellings(spark: SparkSession, d: str) -> DataFrame:
+    return units.unit_table(spark, table(spark, d, "target_units"))
+
+
+@query
+def clean_normalize(spark: SparkSession, d: str) -> DataFrame:
+    rows = catalog.one_row_each(records(spark, d, "rid", "title"))
+    title = T.text_of(F.col("title"))
+    return rows.select("rid", title.alias("title"), T.normalized(F.col("title")).alias("title_norm"), T.canonical_model(title).alias("squeezed"))
+
+
+@query
+def tokens_stopwords(spark: SparkSession, d: str) -> DataFrame:
+    rows = catalog.one_row_each(records(spark, d, "rid", "title")).select("rid", T.normalized(F.col("title")).alias("n"))
+    return rows.select("rid", F.array_join(T.tokens(F.col("n")), " ").alias("tokens"))
+
+
+@query
+def model_tokens(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _records(spark, d)
+    shown = lambda c: F.array_join(F.array_sort(c), " ").alias(c)
+    return a.unionByName(b).select("rid", "explicit_model", shown("model_tokens"), shown("compat_model_tokens"), shown("desc_model_tokens"))
+
+
+@query
+def prune_common_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.prune_common(*_records(spark, d), max_df=1)[2]
+
+
+@query
+def record_attributes(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _records(spark, d)
+    caps = F.array_join(F.transform(F.array_sort(F.map_keys("capacities")), lambda u: F.concat(u, F.lit("="), F.array_join(F.transform(F.element_at("capacities", u), lambda v: F.round(v, 3).cast("string")), ","))), ";")
+    return a.unionByName(b).select("rid", "price", "currency", "brand_norm", "pack_qty", "condition", caps.alias("capacities"), "accessory_hint", "bundle_hint")
+
+
+@query
+def visible_fields(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _records(spark, d)
+    return catalog.visible_fields(a).unionByName(catalog.visible_fields(b))
+
+
+@query
+def records_flat(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.flattened(_records(spark, d)[0])
+
+
+@query
+def block_exact_model(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.shared_identifiers(*_records(spark, d))
+
+
+@query
+def block_token_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _records(spark, d)
+    return blocking.nearest(blocking.similarities(a, b, blocking.word_terms, "words"), 8).withColumn("score", F.round("score", 6))
+
+
+@query
+def block_char_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _records(spark, d)
+    return blocking.nearest(blocking.similarities(a, b, blocking.character_terms, "grams"), 8).withColumn("score", F.round("score", 6))
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return stored(blocking.candidates(*_records(spark, d)), "candidates")
+
+
+@query
+def candidates_union(spark: SparkSession, d: str) -> DataFrame:
+    x = _candidates(spark, d)
+    return x.select("left_rid", "right_rid", F.array_join("methods", "|").alias("methods"), F.round("tfidf_char", 6).alias("tfidf_char"), F.round("tfidf_tok", 6).alias("tfidf_tok"), "rank")
+
+
+@query
+def candidate_recall(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.candidate_recall(_candidates(spark, d), _true(spark, d))
+
+
+@query
+def retrieval_misses(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.misses(_candidates(spark, d), _true(spark, d))
+
+
+@query
+def pair_attributes(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _records(spark, d)
+    x = pairs.attribute_features(pairs.attach(_gold(spark, d), a, b))
+    six = lambda c: F.round(c, 6).alias(c)
+    return x.select("left_rid", "right_rid", "label", "model_relation", six("title_jaccard"), six("full_jaccard"), six("num_overlap"), "brand_same", "desc_model_agree", "compat_ref", "capacity_conflict", "qty_conflict", "condition_conflict", "accessory_mismatch", "bundle_mismatch", six("price_ratio"), "exact_title")
+
+
+@query
+def title_similarity(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _records(spark, d)
+    x = pairs.attach(_gold(spark, d), a, b).select("left_rid", "right_rid", S.title_ratios(F.col("l_title_norm"), F.col("r_title_norm")).alias("r"))
+    return x.select("left_rid", "right_rid", *[F.round(F.col(f"r.{n}"), 6).alias(n) for n in S.RATIOS])
+
+
+def _pair_table(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records that share an identifier or are labelled, with features, rules and scores: every such pair of the catalogs."""
+    a, b = _records(spark, d)
+    found = blocking.shared_identifiers(a, b).select("left_rid", "right_rid").unionByName(_gold(spark, d).select("left_rid", "right_rid")).distinct()
+    found = found.withColumns({"methods": F.array(F.lit("exact_model")), "tfidf_char": F.lit(0.0), "tfidf_tok": F.lit(0.0), "rank": F.lit(0)})
+    return stored(evaluate.labelled(pairs.scored_pairs(found, a, b), _true(spark, d)), "pair-table")
+
+
+@query
+def pair_rules(spark: SparkSession, d: str) -> DataFrame:
+    x = _pair_table(spark, d)
+    return x.select("left_rid", "right_rid", "label", "rule_decision", "rule_reason", F.round("fuzzy_score", 6).alias("fuzzy_score"), "material_diffs", F.array_join("evidence", " / ").alias("evidence"))
+
+
+@query
+def pair_decisions(spark: SparkSession, d: str) -> DataFrame:
+    config, x = pipeline.Config(), _pair_table(spark, d)
+    return x.select("left_rid", "right_rid", decide.exact().alias("dec_exact"), "rule_decision", decide.fuzzy_with_rules(config.hi, config.lo).alias("dec_fuzzy_rules"))
+
+
+@query
+def match_catalogs(spark: SparkSession, d: str) -> DataFrame:
+    x = pipeline.match(*_both(spark, d))
+    return x.select("left_rid", "right_rid", "rank", "methods", "rule_decision", F.round("fuzzy_score", 6).alias("fuzzy_score"), "material_diffs", "decision")
+
+
+@query
+def error_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    config = pipeline.Config()
+    return evaluate.error_breakdown(_pair_table(spark, d).withColumn("decision", decide.fuzzy_with_rules(config.hi, config.lo)))
+
+
+@query
+def supervised_scores(spark: SparkSession, d: str) -> DataFrame:
+    x = _pair_table(spark, d).join(_gold(spark, d).select("left_rid", "right_rid"), ["left_rid", "right_rid"], "left_semi")
+    return learn.out_of_fold(x).select("left_rid", "right_rid", "label", "sup_score")
+
+
+@query
+def supervised_decisions(spark: SparkSession, d: str) -> DataFrame:
+    x = _pair_table(spark, d)
+    known = x.join(_gold(spark, d).select("left_rid", "right_rid"), ["left_rid", "right_rid"], "left_semi")
+    scored = learn.Scorer().fit(known).score(x)
+    return scored.select("left_rid", "right_rid", "sup_score", decide.by_threshold(F.col("sup_score"), 0.9, 0.1).alias("decision"))
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _records(spark, d)
+    fields = lambda r, side: catalog.visible_fields(r).toDF(f"{side}_rid", f"{side}_fields")
+    x = _pair_table(spark, d).filter("rule_decision = 'review'").select("left_rid", "right_rid")
+    x = x.join(fields(a, "left"), "left_rid").join(fields(b, "right"), "right_rid")
+    return x.select("left_rid", "right_rid", judge.state(F.col("left_fields"), F.col("right_fields")).alias("state"))
+
+
+@query
+def judge_cache_keys(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _records(spark, d)
+    state = F.concat(F.col("l_title"), F.lit("|"), F.col("r_title"))
+    return pairs.attach(_gold(spark, d), a, b).select("left_rid", "right_rid", judge.cache_key("stub", "v1", state).alias("key"))
+
+
+@query
+def judge_stub_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    answers = judge.flattened(stored(judge.ask(_judged(spark, d), judge.stub, budget=judge.Budget(max_attempts=10_000_000)), "answers"))
+    x = _pair_table(spark, d).join(answers, ["left_rid", "right_rid"], "left").withColumn("judge_score", decide.judge_score())
+    return x.select("left_rid", "right_rid", "rule_decision", F.round("judge_score", 6).alias("judge_score"), decide.judged(0.5, 0.1).alias("dec_judge"), decide.hybrid(0.5, 0.1).alias("dec_hybrid"))
+
+
+@query
+def judge_spending(spark: SparkSession, d: str) -> DataFrame:
+    return judge.spending(stored(judge.ask(_judged(spark, d), judge.stub, budget=judge.Budget(max_attempts=10_000_000)), "answers")).drop("latency_p50_s", "latency_p95_s")
+
+
+def _earlier(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct pairs of earlier runs with their scores and decisions, labelled by the gold pairs."""
+    m = table(spark, d, "mappings").select("left_rid", "right_rid", "decision", "human_decision", "fuzzy_score")
+    q = table(spark, d, "review_queue").select("left_rid", "right_rid", F.lit("review").alias("decision"), "human_decision", "fuzzy_score")
+    one = m.unionByName(q).filter("left_rid is not null and right_rid is not null").groupBy("left_rid", "right_rid").agg(F.min("decision").alias("decision"), F.max("fuzzy_score").alias("fuzzy_score"))
+    return evaluate.labelled(one, _true(spark, d))
+
+
+def _n_gold(spark: SparkSession, d: str) -> DataFrame:
+    return _true(spark, d).agg(F.count("*").alias("n_gold"))
+
+
+@query
+def label_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _earlier(spark, d)
+
+
+@query
+def confusion_metrics(spark: SparkSession, d: str) -> DataFrame:
+    x = evaluate.pair_metrics(_earlier(spark, d), _n_gold(spark, d))
+    return x.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in x.dtypes])
+
+
+@query
+def pr_curve(spark: SparkSession, d: str) -> DataFrame:
+    x = evaluate.precision_recall_curve(_earlier(spark, d), _n_gold(spark, d), "fuzzy_score")
+    return x.select("threshold", "tp", "fp", F.round("precision", 9).alias("precision"), F.round("recall_e2e", 9).alias("recall_e2e"))
+
+
+@query
+def choose_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.choose_thresholds(_earlier(spark, d), "fuzzy_score", target_precision=0.05)
+
+
+@query
+def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.bootstrap(_earlier(spark, d), _true(spark, d).count(), times=300)
+
+
+@query
+def product_groups(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _both(spark, d)
+    return graph.product_groups(a.select("rid"), b.select("rid"), _true(spark, d))
+
+
+@query
+def group_split(spark: SparkSession, d: str) -> DataFrame:
+    return graph.group_split(stored(product_groups(spark, d), "groups"))
+
+
+@query
+def split_stats(spark: SparkSession, d: str) -> DataFrame:
+    return graph.split_statistics(table(spark, d, "split_manifest"))
+
+
+@query
+def export_mappings(spark: SparkSession, d: str) -> DataFrame:
+    return report.accepted(table(spark, d, "mappings"))
+
+
+@query
+def export_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (catalog.one_row_each(c.select("rid", "source", "title")) for c in _both(spark, d))
+    return report.unmatched(a, b, report.accepted(table(spark, d, "mappings")))
+
+
+@query
+def export_review_queue(spark: SparkSession, d: str) -> DataFrame:
+    return report.review_queue(table(spark, d, "review_queue").withColumn("decision", F.lit("review")))
+
+
+@query
+def pair_search(spark: SparkSession, d: str) -> DataFrame:
+    x = report.search(table(spark, d, "mappings"), r"chest\s+freezer", ["match", "review"], only_different=True)
+    return x.select("left_rid", "right_rid", "decision", "fuzzy_score", "material_diffs")
