@@ -111,7 +111,7 @@ ORACLES: dict[str, str] = {
 SELECT coalesce(g.group_rid, s.rid) AS group_rid FROM stands s LEFT JOIN grouped g ON s.rid = g.rid WHERE s.split IS NOT NULL AND s.rid IS NOT NULL
 GROUP BY 1 HAVING count(DISTINCT s.split) > 1""",
     "p10_found": r"""WITH w AS (
-  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(text), '[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}]+'), x -> regexp_replace(x, '\P{L}+', '', 'g')), x -> x <> '') AS ws
+  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(text), '[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}]+'), lambda x: regexp_replace(x, '\P{L}+', '', 'g')), lambda x: x <> '') AS ws
   FROM documents WHERE text IS NOT NULL),
   g AS (SELECT doc_id, i, array_to_string(ws[i:i+3], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 2)) AS i FROM w)),
   again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, gram) AS first FROM g) WHERE i > first),

@@ -81,11 +81,14 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     w = np.zeros(x.shape[1])
-    for _ in range(40):
+    loss = lambda v: float((np.logaddexp(0, x @ v) - y * (x @ v)).sum() + (penalty * v * v).sum() / 2)
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
+        step, scale = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w), 1.0
+        while scale > 1e-6 and loss(w + scale * step) > loss(w):
+            scale /= 2
+        w += scale * step
+        if np.abs(scale * step).max() < 1e-6:
             break
     return w
 
