@@ -11,23 +11,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.session import stored
+
 _MARK = r"(?:…|�|\[(?:more|\.\.\.|…)\]|\((?:more|\.\.\.)\)|<[a-zA-Z/]{0,4}|&[a-zA-Z]{1,5})\s*$"
 
 
-def _words(unit: Column) -> Column:
-    """Words of a unit: lower case, numbers as 9, codes as shapes; a colon or comma belongs to its word, a closing mark does not."""
-    text = F.regexp_replace(F.lower(unit), r"[.!?\s]+$", "")
-    text = F.regexp_replace(text, r"(?<![\p{L}\d])\d[\d.,/½¼¾]*(?<![.,])|[½¼¾]", "9")
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    shape = lambda w: F.when(w.rlike(r"^\p{L}+[-/]?\d"), F.regexp_replace(F.regexp_replace(w, r"\p{L}", "a"), r"\d", "9")).otherwise(w)
-    return F.transform(words, shape)
+def _normal(unit: Column) -> Column:
+    """A unit with small letters and single blanks, numbers as 9, codes as shapes; a colon or comma belongs to its word, a closing mark does not."""
+    text = F.translate(F.regexp_replace(unit, r"[.!?\s]+$", ""), "012345678", "999999999")
+    text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])(?:[A-Z]{3}|[a-z]{3})(?=[-/]?99)", "aaa")
+    text = F.regexp_replace(text, r"(?=[9½¼¾])(?<![\p{L}\p{N}])(?:9[9.,/½¼¾]*(?<![.,])|[½¼¾])", "9")
+    return F.trim(F.regexp_replace(F.lower(text), r"\s{2,}|[\t\x{A0}]", " "))
 
 
 def _units(text: Column) -> Column:
     """Sentences and list fields of a text, without markup and marks of omission."""
-    plain = F.regexp_replace(text, _MARK, "")
-    plain = F.regexp_replace(plain, r"<[^<>]{1,40}>", "\n")
-    return F.filter(F.split(plain, r"(?<=[.!?])(?<!\b[Nn]o\.)(?<!/oz\.)\s+(?=[^\p{Ll}\s])|\s*\n[\s-]*|\s+\|\s+|;\s+"), lambda u: F.trim(u) != "")
+    plain = F.regexp_replace(F.regexp_replace(text, _MARK, ""), r"<[^<>]{1,40}>", "\n")
+    cut = r"(?=[\s;])(?:(?<=[.!?])(?<!\b[Nn]o\.)(?<!/oz\.)\s+(?=[^\p{Ll}\s])|\s*\n[\s-]*|\s+\|\s+|;\s+)"
+    return F.filter(F.split(plain, cut), lambda u: F.trim(u) != "")
 
 
 def _trigrams(words: Column) -> Column:
@@ -42,9 +43,9 @@ def limits(texts: DataFrame, at_least: int = 5, peak: float = 3.0) -> DataFrame:
     """(source, size): lengths that a source cuts at: its greatest length, and that less one where blanks at the cut are dropped.
 
     The greatest length counts if at least at_least texts have it, and peak times as many as have a shorter one on average (of the 40
-    lengths before). texts: (source, text), one row a text.
+    lengths before). texts: (source, size), one row a text.
     """
-    lengths = texts.groupBy("source", F.length("text").alias("size")).agg(F.count("*").alias("n"))
+    lengths = texts.groupBy("source", "size").agg(F.count("*").alias("n"))
     top = lengths.groupBy("source").agg(F.max("size").alias("top"))
     near = lengths.join(top, "source").filter("size >= top - 41")
     usual = near.groupBy("source", "top").agg((F.sum(F.when(F.col("size") < F.col("top") - 1, F.col("n")).otherwise(0)) / 40).alias("usual"))
@@ -57,20 +58,26 @@ def truncated(records: DataFrame, key: str = "rid", text: str = "description", s
     """(key, source, why): each distinct text of a record that was cut, with the first sign found: mark, limit or words.
 
     inside: how often the last three words must stand inside units; terminal: the share of their occurrences at ends that is still
-    almost never. Null, empty and blank texts are never cut. Equal rows count once. A null source is a source of its own.
+    almost never. Null, empty and blank texts are never cut. Rows that stand twice are counted twice. A null source is a source of its own.
     """
-    rows = records.select(F.col(key).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text")).filter("trim(text) <> ''").distinct()
-    at = limits(rows.select("source", "text")).withColumn("hit", F.lit(True))
-    rows = rows.join(F.broadcast(at), (rows.source == at.source) & (F.length(rows.text) == at["size"]), "left").drop(at.source).drop("size")
-    rows = rows.withColumns({"mark": F.col("text").rlike(_MARK), "units": _units(F.col("text"))}).filter("size(units) > 0 or mark")
-    rows = rows.select("id", "source", "mark", F.coalesce("hit", F.lit(False)).alias("hit"), F.slice("units", 1, F.greatest(F.size("units") - 1, F.lit(0))).alias("body"), F.try_element_at("units", F.lit(-1)).alias("tail"))
-    rows = rows.withColumn("tail_words", _words(F.col("tail"))).withColumn("end", F.try_element_at(_trigrams(F.col("tail_words")), F.lit(-1)))
+    rows = records.select(F.col(key).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text")).filter("trim(text) <> ''")
+    mark = F.substr("text", F.greatest(F.length("text") - 11, F.lit(1))).rlike(_MARK)
+    # texts are taken apart once; what follows reads units
+    rows = stored(rows.select("id", "source", F.length("text").alias("size"), mark.alias("mark"), _units(F.col("text")).alias("units")), "units")
+    at = limits(rows.select("source", "size")).withColumn("hit", F.lit(True))  # two rows a source at most
+    rows = rows.join(F.broadcast(at), ["source", "size"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     # every unit as typed is counted before its words are looked at; the last unit of a text known to be cut is no witness of an end
-    units = rows.select(F.explode(F.concat("body", F.when(~F.col("mark") & ~F.col("hit") & F.col("tail").isNotNull(), F.array("tail")).otherwise(F.array().cast("array<string>")))).alias("unit"))
-    units = units.groupBy("unit").agg(F.count("*").alias("n")).select(_words(F.col("unit")).alias("words"), "n").filter("size(words) > 0").groupBy("words").agg(F.sum("n").alias("n"))
+    witnesses = F.when(F.col("mark") | F.col("hit"), F.slice("units", 1, F.greatest(F.size("units") - 1, F.lit(0)))).otherwise(F.col("units"))
+    units = rows.select(F.explode(witnesses).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+    units = units.select(_normal(F.col("unit")).alias("words"), "n").filter("words <> ''").groupBy("words").agg(F.sum("n").alias("n"))
+    units = units.select(F.split("words", " ").alias("words"), "n")
     grams = units.select(F.posexplode(_trigrams(F.col("words"))).alias("i", "t"), "n", (F.size("words") - 1).alias("at"))
     within = grams.groupBy("t.head", "t.last").agg(F.sum(F.when(F.col("i") < F.col("at"), F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("i") == F.col("at"), F.col("n")).otherwise(0)).alias("n_end"))
-    ends = rows.filter("end is not null").select("end.head", "end.last").distinct()
+    within = stored(within, "trigrams")
+    rows = rows.select("id", "source", "mark", "hit", F.split(_normal(F.try_element_at("units", F.lit(-1))), " ").alias("w"))
+    word = lambda i: F.coalesce(F.get("w", F.size("w") - i), F.lit("<s>"))
+    rows = stored(rows.select("id", "source", "mark", "hit", F.concat_ws(" ", word(3), word(2)).alias("head"), F.get("w", F.size("w") - 1).alias("last")), "ends")
+    ends = rows.filter("last <> '' and not mark and not hit").select("head", "last").distinct()
     # a last word may be the beginning of one that stands inside
     heads = ends.select("head").distinct()
     within = within.join(heads, "head", "left_semi")
@@ -78,9 +85,9 @@ def truncated(records: DataFrame, key: str = "rid", text: str = "description", s
     begun = begun.groupBy("head", "last").agg(F.sum("n").alias("n_in"))
     judged = ends.join(begun, ["head", "last"], "left").join(within.select("head", "last", "n_end"), ["head", "last"], "left").fillna(0, ["n_in", "n_end"])
     rare = judged.filter((F.col("n_in") >= inside) & (F.col("n_end") < terminal * (F.col("n_in") + F.col("n_end")))).select("head", "last", F.lit(True).alias("words_cut"))
-    rows = rows.select("id", "source", "mark", "hit", F.col("end.head").alias("head"), F.col("end.last").alias("last")).join(rare, ["head", "last"], "left")
+    rows = rows.join(rare, ["head", "last"], "left")
     why = F.when(F.col("mark"), "mark").when(F.col("hit"), "limit").when(F.col("words_cut"), "words")
-    return rows.select(F.col("id").alias(key), "source", why.alias("why")).filter("why is not null")
+    return rows.select(F.col("id").alias(key), "source", why.alias("why")).filter("why is not null").distinct()
 
 
 def rates(records: DataFrame, cut: DataFrame, text: str = "description", source: str = "source", key: str = "rid") -> DataFrame:
