@@ -68,7 +68,7 @@ def torn(groups: DataFrame, manifest: DataFrame) -> DataFrame:
     """
     split = F.nullif(F.lower(F.regexp_replace("split", r"[\s\x{A0}]+", "")), F.lit(""))
     stands = manifest.select(clean_rid(F.col("rid")).alias("rid"), split.alias("split")).filter("rid is not null and split is not null")
-    found = stands.join(groups, "rid", "left").groupBy(F.coalesce("group_rid", "rid").alias("group_rid")).agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
+    found = stands.join(groups.select("rid", "group_rid"), "rid", "left").groupBy(F.coalesce("group_rid", "rid").alias("group_rid")).agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
     return found.filter("lo <> hi").select("group_rid")
 
 
@@ -90,4 +90,4 @@ def deal(groups: DataFrame, targets: DataFrame, seed: int = 13) -> DataFrame:
     placed = prefix_sums(sizes, ["band"], ["key", "group_rid"], "n", "before")
     bands = sizes.groupBy("band").agg(F.sum("n").alias("of"))  # at most 64 rows
     dealt = placed.join(F.broadcast(bands), "band").withColumn("middle", (F.col("before") + F.col("n") / 2) / F.col("of")).select("group_rid", split.alias("split"))
-    return groups.join(dealt, "group_rid").select("rid", "group_rid", "split")
+    return groups.select("rid", "group_rid").join(dealt, "group_rid").select("rid", "group_rid", "split")
