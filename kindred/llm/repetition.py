@@ -117,7 +117,9 @@ def train(documents: DataFrame, share: float, rows: int) -> Model:
             words = [words_of(t) for t in b.text]
             yield pd.DataFrame({"x": [features(w).tolist() for w in words], "y": [float(repeated_share(w) >= share) for w in words]})
 
-    sample = documents.select("doc_id", "text").filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # only ids are ordered; the texts of the few chosen are fetched then
+    chosen = documents.filter("text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = documents.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").filter("text is not null")
     got = sample.mapInPandas(measured, "x array<float>, y double").toPandas()
     if got.empty:
         return fit(np.zeros((0, 4 * BUCKETS)), np.zeros(0))
