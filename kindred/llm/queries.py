@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import brands, components, listings, matching, mixing, packing, repetition, splits, truncation
+from kindred.llm import brands, components, listings, matching, mixing, oracle, packing, repetition, splits, truncation
 from kindred.plans.tables import records, table
 from kindred.session import stored
 
@@ -104,7 +104,7 @@ _GROUPS = f"""
   reached AS (SELECT rid, rid AS other FROM rids UNION SELECT r.rid, e.dst FROM reached r JOIN edges e ON r.other = e.src),
   grouped AS (SELECT rid, min(other) AS group_rid FROM reached GROUP BY rid)
 """
-ORACLES: dict[str, str] = {
+ORACLES: dict[str, str] = oracle.ORACLES | {
     "p2_found": f"WITH RECURSIVE {_GROUPS} SELECT rid, group_rid FROM grouped",
     "p6_found": f"""WITH RECURSIVE {_GROUPS},
   stands AS (SELECT {_CLEAN.format('rid')} AS rid, nullif(lower(regexp_replace(split, '\\s+', '', 'g')), '') AS split FROM split_manifest)
