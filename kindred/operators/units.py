@@ -80,7 +80,7 @@ _UNIT = (
     r"|feet\b|foot\b|ft\b|fl\.? ?oz\b|fluid[ -]ounces?\b|ounces?\b|oz\b|kilo(?:gram)?s?\b|kgs?\b|grams?\b|gms?\b|gr\b|g\b|pounds?\b|lbs?\b|gallons?\b|gals?\b|quarts?\b|qts?\b"
     rf"|kilowatts?\b|kw\b|watts?\b|w\b|(?:mega|giga|tera)bytes?\b|gb\b|tb\b|{_DEG}|[cf]\b|l\b|m\b|''|\"|”|″|'(?!\w)|’(?!\w)|′)"
 )
-_LABEL = r"(?:net weight|weight|mass|power|size|length|height|width|depth|capacity|volume|memory|storage|temperature|dimensions|diameter)"
+_LABEL = r"(?:net weight|weight|mass|power|size|length|height|width|depth|capacity|volume|memory|storage|space|temperature|dimensions|diameter)"
 _UNIT_WORD = r"[a-z.°º'\"” ]{1,18}?"
 _START = r"(?<![\p{L}\p{N}.,/])"
 _MANY = rf"{_NUM}(?: ?[x×/] ?{_NUM})*"
