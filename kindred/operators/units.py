@@ -88,7 +88,7 @@ _MANY = rf"{_NUM}(?: ?[x×/] ?{_NUM})*"
 _LABELLED = rf"\b(?:{_LABEL}(?: in | ?\(| ?\[|/)|measurements in |dimensions: (?=\p{{L}}{{2,11}} [\d.])){_UNIT_WORD}[)\]]?:? -?{_MANY}(?![\p{{L}}\p{{N}}]|[.,]\d)"
 _COMPOUND = rf"{_START}\d+ ?(?:(?:feet|foot|ft|'|’|′)\.? ?(?:and )?{_NUM} ?(?:inch(?:es)?\b|in\b|''|\"|”|″)|(?:lbs?|pounds?)\.? ?(?:and )?{_NUM} ?(?:oz|ounces?)\b)"
 _SIDES = rf"{_START}{_NUM}(?: ?[x×] ?{_NUM})+[ -]?{_UNIT}"
-_MINUS = r"(?:minus |(?<![\p{L}\p{N}] |[\p{L}\p{N})])[-−–](?=[\d.]))"
+_MINUS = r"(?:minus |(?<![\p{L}\p{N}])[-−–](?=[\d.]))"
 _GAP = r"(?: ?- ?| )?"
 #: model codes, three letters and four digits written in many ways; short words that may stand before a number are no code
 _CODE = (

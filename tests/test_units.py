@@ -29,7 +29,7 @@ CASES = [
     ("Dimensions: W 12.2 in x D 9.9 in.", {("length", 310), ("length", 251)}), ("441×66mm", {("length", 441), ("length", 66)}), ("Dimensions: cm 47 / 9.5", {("length", 470), ("length", 95)}),
     ("Measurements in inches: 5 x 10 x 2", {("length", 127), ("length", 254), ("length", 51)}), ("Weight in g: 2100", {("mass", 2100)}), ("Power/watts: 300", {("power", 300)}),
     ("Memory (mb): 34000", {("storage", 34000)}), ("Mass [oz.] 10", {("mass", 283)}), ("Net weight/oz. 28.6", {("mass", 811)}), ("1.2 TB", {("storage", 1200000)}),
-    ("minus 15 degrees Celsius", {("temperature", -15)}), ("-24 °C", {("temperature", -24)}), ("30ºF", {("temperature", -1)}), ("−28 deg C", {("temperature", -28)}), ("76 F", {("temperature", 24)}),
+    ("minus 15 degrees Celsius", {("temperature", -15)}), ("-24 °C", {("temperature", -24)}), ("Works at up to -18 F.", {("temperature", -28)}), ("Box Freezer -29°C", {("temperature", -29)}), ("Grill - 180 °C", {("temperature", 180)}), ("10-20 °C", {("temperature", 20)}), ("30ºF", {("temperature", -1)}), ("−28 deg C", {("temperature", -28)}), ("76 F", {("temperature", 24)}),
     ("Capacity (FL OZ): 17.2", {("volume", 509)}), ("18.1 in. Curtain, 18.1 inch", {("length", 460)}), ("19-inch", {("length", 483)}),
 ]
 NONE = ["NXF-5506G", "ZCM6258 G", "Pairs with 5G phones and 4K screens", "2 in 1", "No. 1 in tests", "Ranked number 9 in its class", "Voted 8 in our poll", "set of 4 parts", "Batch code UX11M", "12 Colours", "Open 24/7", "", "5-year warranty", "FMF 3988 L"]
