@@ -78,7 +78,7 @@ def family_words(rows: DataFrame, brand_list: DataFrame, brand_share: float = 0.
     """(word, family, df): words of titles that name a product family, and slips of such words with the family word meant.
 
     rows: (rid, words, brand_id, brand). A word names a family if at most brand_share of the titles' own brand fields hold it, and own of the titles whose
-    brand is known are of one brand. Slips are words of few titles that share a deletion with a word of more titles; a slip of a word that names
+    brand is known are of one brand. Slips are words of few titles, or of a twentieth as many, that share a deletion with a word of more; a slip of a word that names
     no family names none. Counts cover all rows.
     """
     typed = F.split(F.translate(F.lower(F.coalesce("brand", F.lit(""))), "áàâäãåéèêëíìîïóòôöõúùûüñçšž", "aaaaaaeeeeiiiiooooouuuuncsz"), r"[^\p{L}]+")
@@ -95,11 +95,12 @@ def family_words(rows: DataFrame, brand_list: DataFrame, brand_share: float = 0.
     words = stored(words.filter(F.length("word") >= 4).select("word", "df", family.alias("is_family")), "words")
     less = lambda w: F.explode(F.concat(F.array(w), F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))))
     right = words.filter("length(word) >= 4").select(F.col("word").alias("meant"), F.col("df").alias("meant_df"), "is_family", less(F.col("word")).alias("cut"))
-    wrong = words.filter("length(word) >= 4 and df <= 3").select("word", "df", less(F.col("word")).alias("cut"))
+    wrong = words.filter("length(word) >= 4").select("word", "df", less(F.col("word")).alias("cut"))
     letters = lambda w: F.array_sort(F.split(w, ""))
     one = (F.levenshtein("word", "meant") == 1) | (letters(F.col("word")) == letters(F.col("meant")))  # or two letters swapped
     far = (F.levenshtein("word", "meant") <= 2) & (F.col("meant_df") > 2) & (F.length("word") >= 6)
-    slips = wrong.join(right, "cut").filter("meant_df > df or (meant_df = df and meant > word)")
+    slips = wrong.join(right, "cut").filter("word <> meant and (meant_df >= 20 * df or df <= 3 and (meant_df > df or meant_df = df and meant > word))")
+    far = far & (F.col("df") <= 3)
     slips = slips.filter((one & ((F.length("word") >= 6) | (F.col("meant_df") > 5 * F.col("df")))) | far)
     slips = slips.groupBy("word").agg(F.max(F.struct("meant_df", "meant", "is_family")).alias("best")).select("word", "best.*")
     kept = words.filter("is_family").join(slips.select("word"), "word", "left_anti").select("word", F.col("word").alias("family"), "df")
