@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators.blocking import identifier_postings
 from kindred.operators.catalog import build_records, guess_columns
-from kindred.session import prefix_sums
+from kindred.session import drop_stored, prefix_sums, shared_dir, stored
 from kindred.sources import files
 from kindred.streaming.incremental import match_stream
 
@@ -67,3 +67,14 @@ def test_stream(spark, tmp_path):
     q = match_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), right, lambda df, i: got.extend(df.collect()), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert [(r.left_rid, r.right_rid) for r in got] == [("l1", "r1")]
+
+
+def test_stored_tables_can_be_dropped(spark, tmp_path):
+    before = shared_dir(spark)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+    try:
+        assert stored(spark.range(3), "x").count() == 3 and list((tmp_path / "shared/tables").iterdir())
+        drop_stored(spark)
+        assert not (tmp_path / "shared/tables").exists()
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
