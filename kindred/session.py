@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: our own folders, by application, where none is set
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests, one machine)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="kindred-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="kindred-")
+        at = _OWN[app]
     return at.rstrip("/")
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -69,12 +70,8 @@ def test_stream(spark, tmp_path):
     assert [(r.left_rid, r.right_rid) for r in got] == [("l1", "r1")]
 
 
-def test_stored_tables_can_be_dropped(spark, tmp_path):
-    before = shared_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        assert stored(spark.range(3), "x").count() == 3 and list((tmp_path / "shared/tables").iterdir())
-        drop_stored(spark)
-        assert not (tmp_path / "shared/tables").exists()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_stored_tables_can_be_dropped(spark):
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "tables"
+    assert stored(spark.range(3), "x").count() == 3 and list(folder.iterdir())
+    drop_stored(spark)
+    assert not folder.exists()
