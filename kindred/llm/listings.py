@@ -2,13 +2,14 @@
 
 Blocks are rare words of the titles: the word of the corpus that names the product family, slips put right. In a block the products are
 profiles, one for each maker's code, or for each size where no listing has a code. A listing is compared with the profiles of its block,
-never with all other listings: profiles with conflicting numbers, codes, editions or brands are vetoed, the names' character n-grams weighted by inverse
-frequency must be near, and of the profiles left the one that agrees in most quantities is taken.
+never with all other listings: profiles with conflicting numbers, codes, editions or brands are vetoed, the character n-grams of title and profile weighted by inverse frequency
+must be near, and of the profiles left the one that agrees in most quantities is taken, of several such one that is clearly the nearest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,10 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kindred.llm.products import KINDS, TOLERANCE, agreements, family_words, parsed, with_family
+from kindred.llm.products import KINDS, TOLERANCE, agreements, family_words, parsed, with_family, with_text
 from kindred.session import stored
 
 GRAM_BUCKETS = 1 << 14
+WORD_BUCKETS = 1 << 16
+#: the most frequent words of a product's titles that its profile keeps, and by how much the nearest of profiles equally good otherwise must be nearer
+PROFILE_WORDS, CLEAR = 32, 0.1
 
 
 def _hashes(text: str) -> list[int]:
@@ -28,70 +32,124 @@ def _hashes(text: str) -> list[int]:
     return [xxhash.xxh32_intdigest(text[i : i + 3]) % GRAM_BUCKETS for i in range(len(text) - 2)]
 
 
-def gram_weights(names: DataFrame) -> np.ndarray:
-    """Inverse document frequencies of the hashed character trigrams of all names (column name): an array of fixed size."""
+def text_weights(rows: DataFrame) -> np.ndarray:
+    """Inverse frequencies over all titles (column text): of the hashed character trigrams, then of the hashed words: an array of fixed size."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(GRAM_BUCKETS + 1, np.int64)
+        total = np.zeros(GRAM_BUCKETS + WORD_BUCKETS, np.int64)
         for b in batches:
-            for text, n in zip(b.name, b.n, strict=True):
-                total[list(set(_hashes(text)))] += n
-                total[GRAM_BUCKETS] += n
+            for word, n in zip(b.word, b.n, strict=True):
+                total[list(set(_hashes(word)))] += n
+                total[GRAM_BUCKETS + xxhash.xxh32_intdigest(word) % WORD_BUCKETS] += n
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at, "n": total[at]})
 
-    distinct = names.filter("name is not null").groupBy("name").agg(F.count("*").alias("n"))
-    got = distinct.mapInPandas(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(GRAM_BUCKETS + 1)
+    n_titles = rows.count()
+    words = rows.select(F.explode("text").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    got = words.mapInPandas(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(GRAM_BUCKETS + WORD_BUCKETS)
     df[got.bucket.to_numpy(dtype=int)] = got.n
-    return (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
+    return np.log((1 + n_titles) / (1 + np.minimum(df, n_titles)) + 1e-3 + 1).astype(np.float32)
 
 
 def gram_cosine(weights: np.ndarray):
-    """A function of two columns: the cosine of their character trigrams, weighted; 0 where one is null or empty."""
+    """A function of four columns: the cosine of the character trigrams of two lists of words (of a title, of a profile), each word counting so often.
 
-    @F.pandas_udf("double")
-    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict[str, tuple[dict[int, float], float]] = {}
+    A trigram weighs its inverse frequency times that of the word it stands in, so words of sales talk count little. 0 where one is null or empty.
+    """
 
-        def vector(text: str) -> tuple[dict[int, float], float]:
-            if text not in known:
-                v: dict[int, float] = {}
-                for h in _hashes(text):
-                    v[h] = v.get(h, 0.0) + float(weights[h])
-                known[text] = v, sum(x * x for x in v.values()) ** 0.5
-            return known[text]
+    @F.pandas_udf("double")
+    def cosine(a: pd.Series, k: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+        grams: dict[str, list[tuple[int, float]]] = {}
+        known: dict[tuple, tuple[dict[int, float], float]] = {}
+
+        def vector(words, counts) -> tuple[dict[int, float], float]:
+            v: dict[int, float] = {}
+            for word, k in zip(words, counts, strict=True):
+                if word not in grams:
+                    w = float(weights[GRAM_BUCKETS + xxhash.xxh32_intdigest(word) % WORD_BUCKETS])
+                    grams[word] = [(h, w * float(weights[h])) for h in _hashes(word)]
+                for h, w in grams[word]:
+                    v[h] = v.get(h, 0.0) + k * w
+            return v, sum(x * x for x in v.values()) ** 0.5
 
         out = []
-        for x, y in zip(a, b, strict=True):
-            if not x or not y:
+        for x, j, y, m in zip(a, k, b, n, strict=True):
+            if x is None or y is None or not len(x) or not len(y):
                 out.append(0.0)
                 continue
-            (u, nu), (v, nv) = vector(x), vector(y)
+            if (key := tuple(y)) not in known or known[key][2] != tuple(m):
+                known[key] = (*vector(y, m), tuple(m))
+            (u, nu), (v, nv, _) = vector(x, j), known[key]
             out.append(sum(w * v[h] for h, w in u.items() if h in v) / (nu * nv) if nu and nv else 0.0)
         return pd.Series(out, dtype=float)
 
     return cosine
 
 
-def _profiles(rows: DataFrame, key: str) -> DataFrame:
-    """(family, variant, product, pq, p_brand, p_name, p_code): what all rows of a product say, each value once."""
+def _common_words(rows: DataFrame, by: list[str], out: str) -> DataFrame:
+    """(by, out): the most frequent words of each group's titles, as structs of n and word."""
+    words = rows.select(*by, F.explode("text").alias("word")).groupBy(*by, "word").agg(F.count("*").cast("int").alias("n"))
+    return words.groupBy(*by).agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "word")), False), 1, PROFILE_WORDS).alias(out))
+
+
+def _profiles(rows: DataFrame, key: str, block_words: DataFrame) -> DataFrame:
+    """(family, variant, product, pq, p_said, p_brand, p_words, p_counts, p_code, p_n): what all rows of a product say, each value once.
+
+    p_said tells in how many rows each quantity stands, p_counts in how many titles each of the profile's words. A product of few listings hardly holds
+    all wordings of its kind of goods, so the words of the block's titles count as well as its own.
+    """
     q = [F.array_distinct(F.flatten(F.collect_set(f"q.{k}"))).alias(k) for k in KINDS]
-    by = rows.groupBy("family", "variant", F.col(key).alias("product")).agg(
-        *q, F.mode("brand_id").alias("p_brand"), F.mode("name").alias("p_name"), F.max("code").alias("p_code"), F.count("*").alias("p_n")
-    )
-    return by.select("family", "variant", "product", F.struct(*KINDS).alias("pq"), "p_brand", "p_name", "p_code", "p_n")
+    rows = rows.withColumn("product", F.col(key))
+    by = rows.groupBy("family", "variant", "product").agg(*q, F.mode("brand_id", True).alias("p_brand"), F.max("code").alias("p_code"), F.count("*").alias("p_n"))
+    told = lambda kind: F.transform(F.coalesce(f"q.{kind}", F.array().cast("array<bigint>")), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
+    said = F.explode(F.concat(*[told(k) for k in KINDS])).alias("x")
+    said = rows.select("product", said).groupBy("product", "x").agg(F.count("*").alias("n")).groupBy("product").agg(F.collect_list(F.struct("x.kind", "x.v", "n")).alias("p_said"))
+    by = by.join(_common_words(rows, ["product"], "w"), "product", "left").join(said, "product", "left").join(block_words, ["family", "variant"], "left")
+    words = F.concat(F.coalesce("w", F.array().cast("array<struct<n:int,word:string>>")), F.coalesce("b", F.array().cast("array<struct<n:int,word:string>>")))
+    return by.select("family", "variant", "product", F.struct(*KINDS).alias("pq"), "p_said", "p_brand", words["word"].alias("p_words"), words["n"].alias("p_counts"), "p_code", "p_n")
+
+
+def _cosine(cosine) -> Column:
+    """How near a row's title is to the profile it has met."""
+    return cosine("text", F.array_repeat(F.lit(1), F.size("text")), "p_words", "p_counts")
+
+
+def _brands_fit() -> Column:
+    return F.expr("p_brand is null or brand_id is null or p_brand = brand_id")
+
+
+def _unlike_others() -> Column:
+    """Whether a row is the only one of its own profile to say its value of a kind, where two or more other values are said."""
+    def of(kind: str) -> Column:
+        own, others = F.coalesce(F.col(f"q.{kind}"), F.array().cast("array<bigint>")), F.filter("p_said", lambda s: s["kind"] == kind)
+        slack = (lambda u, v: F.lit(2)) if kind == "temperature" else (lambda u, v: F.greatest(F.abs(u), F.abs(v)) * TOLERANCE)
+        near = F.filter(others, lambda s: F.exists(own, lambda u: F.abs(u - s["v"]) <= slack(u, s["v"])))
+        rows = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda x, s: x + s["n"])
+        alone = (F.size(own) > 0) & (rows(near) <= F.size(own)) & (rows(others) - rows(near) >= 2)
+        return F.coalesce(alone, F.lit(False))
+
+    return reduce(Column.__or__, [of(k) for k in KINDS])
+
+
+def _confirmed(rows: DataFrame, profiles: DataFrame, cosine, near: float) -> DataFrame:
+    """(rid, product): the rows (with their product) that fit the profile of their own product: brand and quantities veto, the title is near."""
+    met = rows.join(profiles.drop("family", "variant"), "product").filter(_brands_fit()).filter(~_unlike_others())
+    return met.filter(_cosine(cosine) >= near).select("rid", "product")
 
 
 def _assign(rows: DataFrame, profiles: DataFrame, cosine, near: float, need: int) -> DataFrame:
-    """(rid, product) for rows that fit a profile of their block: no veto, names near, at least need quantities agreeing, and none as good."""
+    """(rid, product) for rows that fit a profile of their block: no veto, title near, at least need quantities agreeing, and none as good.
+
+    Of profiles that agree in as many quantities the nearest is taken if it is clearly nearer than the others.
+    """
     agree, conflict = agreements("q", "pq")
     met = rows.join(profiles, ["family", "variant"])
-    met = met.filter("p_brand is null or brand_id is null or p_brand = brand_id").withColumns({"agree": agree, "conflict": conflict}).filter(f"conflict = 0 and agree >= {need}")
-    met = met.withColumn("cosine", cosine("name", "p_name")).filter(F.col("cosine") >= near)
-    best = met.groupBy("rid").agg(F.max(F.struct("agree", "cosine", "product")).alias("best"), F.collect_set(F.struct("agree", "product")).alias("all"))
-    alone = F.size(F.array_distinct(F.transform(F.filter("all", lambda x: x.agree == F.col("best.agree")), lambda x: x["product"]))) == 1
-    return best.filter(alone).select("rid", F.col("best.product").alias("product"))
+    met = met.filter(_brands_fit()).withColumns({"agree": agree, "conflict": conflict}).filter(f"conflict = 0 and agree >= {need}")
+    met = met.withColumn("cosine", _cosine(cosine)).filter(F.col("cosine") >= near)
+    best = met.groupBy("rid").agg(F.max(F.struct("agree", "cosine", "product")).alias("best"), F.collect_set(F.struct("agree", "cosine", "product")).alias("all"))
+    rivals = F.filter("all", lambda x: (x.agree == F.col("best.agree")) & (x.cosine > F.col("best.cosine") - CLEAR))
+    return best.filter(F.size(F.array_distinct(F.transform(rivals, lambda x: x["product"]))) == 1).select("rid", F.col("best.product").alias("product"))
 
 
 def group_listings(listings: DataFrame, brand_list: DataFrame, target_units: DataFrame, near: float = 0.6) -> DataFrame:
@@ -103,13 +161,19 @@ def group_listings(listings: DataFrame, brand_list: DataFrame, target_units: Dat
     rows = stored(parsed(listings, brand_list, target_units), "parsed")
     families = stored(family_words(rows, brand_list), "families")
     rows = with_family(rows, families).withColumn("variant", F.concat_ws(":", "edition", "part_of"))
-    rows = stored(rows.withColumn("name", F.concat_ws(" ", "family", F.nullif("variant", F.lit("")))), "named")
-    cosine = gram_cosine(gram_weights(rows.filter("family is not null").select("name")))
-    in_block = rows.filter("family is not null").select("rid", "family", "variant", "name", "code", "brand_id", "q")
-    # 1. a product for each code
-    coded = in_block.filter("code is not null").withColumn("key", F.concat_ws("|", F.lit("code"), "family", "variant", "code"))
-    profiles = stored(_profiles(coded, "key"), "coded")
-    placed = coded.select("rid", F.col("key").alias("product"))
+    rows = stored(with_text(rows, families), "named")
+    cosine = gram_cosine(text_weights(rows))
+    in_block = rows.filter("family is not null").select("rid", "family", "variant", "text", "code", "brand_id", "q")
+    block_words = stored(_common_words(in_block, ["family", "variant"], "b"), "block-words")
+    # 1. a product for each code, and for each other maker that uses it
+    coded = in_block.filter("code is not null").withColumn("product", F.concat_ws("|", F.lit("code"), "family", "variant", "code"))
+    profiles = stored(_profiles(coded, "product", block_words), "coded")
+    placed = stored(_confirmed(coded, profiles, cosine, near), "placed")
+    others = coded.join(profiles.select("product", "p_brand"), "product").filter("brand_id <> p_brand").drop("p_brand").withColumn("product", F.concat_ws("|", "product", F.col("brand_id").cast("string")))
+    others = stored(others, "others")
+    other_profiles = stored(_profiles(others, "product", block_words), "other-makers")
+    placed = placed_codes = stored(placed.unionByName(_confirmed(others, other_profiles, cosine, near)), "placed")
+    profiles = stored(profiles.unionByName(other_profiles), "coded")
     # 2. listings without a code, to the profile whose quantities they share
     open_ = in_block.filter("code is null")
     joined = stored(_assign(open_, profiles, cosine, near, 1), "joined")
@@ -123,16 +187,17 @@ def group_listings(listings: DataFrame, brand_list: DataFrame, target_units: Dat
     before = W.partitionBy("family", "variant").orderBy("v")
     starts = values.withColumn("first", (F.coalesce(F.col("v") > F.lag("v").over(before) * (1 + TOLERANCE), F.lit(True))).cast("int"))
     sizes = starts.withColumn("cluster", F.sum("first").over(before)).select("family", "variant", "v", "cluster")
-    keyed = sized.join(sizes, ["family", "variant", "v"]).select("rid", F.concat_ws("|", F.lit("size"), "family", "variant", "kind", F.col("cluster").cast("string")).alias("key"))
+    keyed = sized.join(sizes, ["family", "variant", "v"]).select("rid", F.concat_ws("|", F.lit("size"), "family", "variant", "kind", F.col("cluster").cast("string")).alias("product"))
     by_size = stored(rest.join(keyed, "rid"), "by-size")
-    more = stored(_profiles(by_size, "key"), "sizes")
+    more = stored(_profiles(by_size, "product", block_words), "sizes")
+    fitting = stored(_confirmed(by_size, more, cosine, near), "fitting")
     # a size and a code that say nothing of each other are one product if neither has another choice
-    agree, conflict = agreements("q", "pq")
-    choice = more.withColumnsRenamed({"product": "size", "pq": "q", "p_brand": "brand_id"}).select("family", "variant", "size", "q", "brand_id").join(profiles, ["family", "variant"])
-    choice = choice.filter((conflict == 0) & F.coalesce(F.col("brand_id") == F.col("p_brand"), F.lit(True))).select("size", "product")
+    conflict = agreements("q", "pq")[1]
+    choice = more.withColumnsRenamed({"product": "size", "pq": "q", "p_brand": "brand_id", "p_words": "text", "p_counts": "text_n"}).select("family", "variant", "size", "q", "brand_id", "text", "text_n").join(profiles, ["family", "variant"])
+    choice = choice.filter((conflict == 0) & _brands_fit()).filter(cosine("text", "text_n", "p_words", "p_counts") >= near).select("size", "product")
     sure = choice.groupBy("size").agg(F.count("*").alias("n"), F.first("product").alias("product")).filter("n = 1")
     sure = stored(sure.join(choice.groupBy("product").agg(F.count("*").alias("m")).filter("m = 1"), "product").select("size", "product"), "sure")
-    sized_rows = by_size.join(sure, by_size.key == sure["size"], "left").select("rid", F.coalesce("product", "key").alias("product"))
+    sized_rows = fitting.join(sure.withColumnRenamed("product", "one"), F.col("product") == F.col("size"), "left").select("rid", F.coalesce("one", "product").alias("product"))
     placed = placed.unionByName(joined).unionByName(sized_rows)
     more = more.join(sure.select(F.col("size").alias("product")), "product", "left_anti").select(*profiles.columns)
     rest = rest.join(by_size.select("rid"), "rid", "left_anti")
@@ -141,19 +206,22 @@ def group_listings(listings: DataFrame, brand_list: DataFrame, target_units: Dat
     rest = rest.join(last, "rid", "left_anti")
     # 4. what says nothing goes where there is but one product; a family of which nothing is said at all is one
     only = profiles.groupBy("family", "variant").agg(F.count("*").alias("n"), F.first("product").alias("product"), F.first("p_brand").alias("p_brand"))
-    silent = rest
-    agree, conflict = agreements("q", "pq")
+    conflict = agreements("q", "pq")[1]
     sole = profiles.join(only.filter("n = 1").select("family", "variant"), ["family", "variant"], "left_semi")
-    fits = silent.join(sole, ["family", "variant"]).filter("p_brand is null or brand_id is null or p_brand = brand_id").filter(conflict == 0).select("rid", "product")
-    silent = silent.join(only.select("family", "variant"), ["family", "variant"], "left_anti").select("rid", F.concat_ws("|", F.lit("family"), "family", "variant").alias("product"))
+    fits = rest.join(sole, ["family", "variant"]).filter(_brands_fit()).filter(conflict == 0).filter(_cosine(cosine) >= near).select("rid", "product")
+    silent = rest.join(only.select("family", "variant"), ["family", "variant"], "left_anti").withColumn("product", F.concat_ws("|", F.lit("family"), "family", "variant"))
+    silent = _confirmed(silent, _profiles(silent, "product", block_words), cosine, near)
     placed = placed.unionByName(last).unionByName(fits).unionByName(silent)
     out = rows.join(placed.dropDuplicates(["rid"]), "rid", "left")
-    # 5. one maker's code is one product, even where titles spell the family in ways that no rule brings together, or leave it out
-    named = coded.filter("brand_id is not null").groupBy("variant", "code", "brand_id").agg(F.min("key").alias("one"), F.collect_set("key").alias("keys"))
-    same = named.filter("size(keys) > 1").select(F.explode("keys").alias("product"), "one").groupBy("product").agg(F.min("one").alias("one"))
+    # 5. one maker's code is one product, even where titles spell the family in ways that no rule brings together, or leave it out: brands and codes
+    # are the same here and titles are not, so quantities alone veto
+    named = coded.drop("product").join(placed_codes, "rid").filter("brand_id is not null").groupBy("variant", "code", "brand_id").agg(F.min("product").alias("one"), F.collect_set("product").alias("products"))
+    one = named.join(profiles.select(F.col("product").alias("one"), "pq"), "one")
+    same = one.filter("size(products) > 1").select(F.explode("products").alias("product"), "one", "pq")
+    same = same.join(profiles.select("product", F.col("pq").alias("q")), "product").filter(conflict == 0).groupBy("product").agg(F.min("one").alias("one"))
     out = out.join(same, "product", "left").withColumn("product", F.coalesce("one", "product")).drop("one")
-    out = out.join(named.select("variant", "code", "brand_id", "one"), ["variant", "code", "brand_id"], "left")
-    return out.select("rid", F.coalesce("product", "one", F.concat(F.lit("rid|"), F.col("rid"))).alias("product"))
+    out = out.join(one.select("variant", "code", "brand_id", "one", "pq"), ["variant", "code", "brand_id"], "left")
+    return out.select("rid", F.coalesce("product", F.when(conflict == 0, F.col("one")), F.concat(F.lit("rid|"), F.col("rid"))).alias("product"))
 
 
 def pairs(groups: DataFrame) -> DataFrame:

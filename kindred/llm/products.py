@@ -111,3 +111,9 @@ def with_family(rows: DataFrame, families: DataFrame) -> DataFrame:
     """rows with a column family: the rarest family word of the title that other titles have, too, else a word of its own; or null."""
     best = rows.select("rid", F.explode("words").alias("word")).join(families, "word").groupBy("rid").agg(F.min(F.struct(F.col("df") < 2, "df", "family")).alias("f"))
     return rows.join(best.select("rid", F.col("f.family").alias("family")), "rid", "left")
+
+
+def with_text(rows: DataFrame, families: DataFrame) -> DataFrame:
+    """rows with a column text: the words of the title, slips of family words put right."""
+    right = rows.select("rid", F.explode("words").alias("word")).join(families.select("word", "family"), "word", "left")
+    return rows.join(right.groupBy("rid").agg(F.collect_set(F.coalesce("family", "word")).alias("text")), "rid", "left")

@@ -48,6 +48,19 @@ def test_listings(spark, tables):
     assert listings.group_listings(empty, *tables).count() == 0
 
 
+def test_titles_decide(spark, tables):
+    """A title that shares family, code and size with a product, and no other wording, is not of it; nor are brands and sizes that conflict."""
+    family, code = "Tevadofiki", "QZA1234"
+    rows = [(f"M{i}", f"Sokira {family} {code} Water Boiler 2 litres", None, "Sokira", code, "") for i in range(8)]
+    rows += [("A1", f"{family} 2 litres cardboard poster showing mountains sunset forest landscape wallpaper decoration print", None, None, None, "")]
+    rows += [("A2", f"{family} {code} cardboard poster showing mountains sunset forest landscape wallpaper decoration print", None, None, None, "")]
+    rows += [("B1", f"Dehefart {family} {code} Water Boiler 2 litres", None, "Dehefart", None, ""), ("C1", f"{family} {code} Water Boiler 9 litres", None, None, None, "")]
+    rows += [(f"N{i}", f"{brand} {name} Kettle {i} litres Official", None, brand, None, "") for i, (brand, name) in enumerate(FAMILIES, 2)]
+    got = {r.rid: r["product"] for r in listings.group_listings(spark.createDataFrame(rows, SCHEMA), *tables).collect()}
+    ours = {r for r in got if got[r] == got["M0"]}
+    assert ours == {f"M{i}" for i in range(8)}, ours
+
+
 @pytest.mark.parametrize("labels", [True, False])
 def test_match(spark, tables, labels):
     a, ta = offers("L", 2)
