@@ -147,10 +147,9 @@ def title_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pair_table(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of records that share an identifier or are labelled, with features, rules and scores: every such pair of the catalogs."""
+    """All candidate pairs of the catalogs, and the labelled pairs, with how they were found, features, rules and scores."""
     a, b = _records(spark, d)
-    found = blocking.shared_identifiers(a, b).select("left_rid", "right_rid").unionByName(_gold(spark, d).select("left_rid", "right_rid")).distinct()
-    found = found.withColumns({"methods": F.array(F.lit("exact_model")), "tfidf_char": F.lit(0.0), "tfidf_tok": F.lit(0.0), "rank": F.lit(0)})
+    found = stored(blocking.candidates(a, b, also=_gold(spark, d).select("left_rid", "right_rid")), "pair-candidates")
     return stored(evaluate.labelled(pairs.scored_pairs(found, a, b), _true(spark, d)), "pair-table")
 
 
