@@ -13,6 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,10 +50,11 @@ def features(words: list[str]) -> np.ndarray:
     if not words:
         return out.ravel()
     known: dict[str, int] = {}
-    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint64, len(words))
-    mixed = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    # by content, as a bucket must mean the same in every text
+    ids = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), np.uint64, len(words))
     text = np.frombuffer(" ".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
     with np.errstate(over="ignore"):
+        mixed = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         for row, (base, n) in enumerate(((mixed, 1), (mixed, 2), (mixed, 4), (text, 12))):
             if len(base) < n:
                 continue
@@ -76,10 +78,9 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(self.slope * (x @ self.weights + self.bias) + self.shift, -50, 50)))
 
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float | np.ndarray) -> np.ndarray:
+    penalty = np.append(np.broadcast_to(ridge, x.shape[1]), 1e-6)
     x = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-6
     w = np.zeros(x.shape[1])
     loss = lambda v: float((np.logaddexp(0, x @ v) - y * (x @ v)).sum() + (penalty * v * v).sum() / 2)
     for _ in range(60):
@@ -101,12 +102,12 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
         weights = np.zeros(4 * BUCKETS)
         weights[2 * BUCKETS : 3 * BUCKETS] = 40.0
         return Model(weights, -8.0, 1.0, 0.0)
-    # the same weight for every bucket of a kind is the prior: fit the four sums first, the buckets' own part around it
+    # the same weight for every bucket of a kind is the prior: the four sums are fitted with the buckets' own part around them, held by a ridge
     sums = x.reshape(len(x), 4, BUCKETS).sum(axis=2)
-    base = _newton(sums[~held], y[~held], 1e-3)
-    weights = np.repeat(base[:4], BUCKETS)
-    platt = _newton((x[held] @ weights + base[4])[:, None], y[held], 1e-3)
-    return Model(weights, float(base[4]), float(platt[0]), float(platt[1]))
+    both = _newton(np.hstack([sums, x])[~held], y[~held], np.repeat([1e-3, 1.0], [4, 4 * BUCKETS]))
+    weights, bias = np.repeat(both[:4], BUCKETS) + both[4:-1], both[-1]
+    platt = _newton((x[held] @ weights + bias)[:, None], y[held], 1e-3)
+    return Model(weights, float(bias), float(platt[0]), float(platt[1]))
 
 
 def train(documents: DataFrame, share: float, rows: int) -> Model:

@@ -60,6 +60,17 @@ def test_model_without_both_classes():
     assert m.score(x[None])[0] > 0.5 > m.score(np.zeros((1, 4 * repetition.BUCKETS)))[0]
 
 
+def test_buckets_have_weights_of_their_own():
+    """Rows whose sums are all alike differ only in the bucket that repeats; the same n-gram falls into the same bucket in every text."""
+    x = np.zeros((300, 4 * repetition.BUCKETS))
+    x[np.arange(300), np.where(np.arange(300) % 2 == 0, 3, 7)] = 1
+    y = (np.arange(300) % 2 == 0).astype(float)
+    assert ((repetition.fit(x, y).score(x) >= 0.5) == (y == 1)).all()
+    tail = ["again", "again"]
+    ours = [set(np.flatnonzero(repetition.features([*head, *tail]))) for head in (["one"], ["one", "two", "three"])]
+    assert ours[0] & set(range(repetition.BUCKETS)) == ours[1] & set(range(repetition.BUCKETS))
+
+
 def descriptions(spark):
     r = random.Random(2)
     nouns, places = ["lid", "ring", "handle", "cable", "frame"], ["small kitchens", "damp cellars", "long evenings"]
