@@ -1,13 +1,14 @@
 """Repetition inside a document (problem 10).
 
 A logistic regression over hashed word and character n-grams, weighted by how often they come back in the text, is fitted on labelled
-rows, calibrated on others, and scored over all texts in Arrow batches against a fixed threshold. Documents above it are then measured
-exactly: the share of words that stand in a run of four or more words given earlier in the same text.
+rows, calibrated on others, and scored over all texts in Arrow batches against a fixed threshold. Only documents above it are then
+measured exactly: the share of words that stand in a run of four or more words given earlier in the same text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -19,15 +20,12 @@ from pyspark.sql import functions as F
 
 RUN = 4
 BUCKETS = 64
-_SPACE = regex.compile(r"\s+")
-_OTHER = regex.compile(r"\P{L}+")
+_OTHER = regex.compile(r"[^\p{L}\s]+")
 
 
 def words_of(text: str | None) -> list[str]:
     """Words in small letters, without punctuation and digits; none for a null or empty text."""
-    if not text:
-        return []
-    return [w for w in (_OTHER.sub("", x) for x in _SPACE.split(text.lower())) if w]
+    return _OTHER.sub("", text.lower()).split() if text else []
 
 
 def repeated_share(words: list[str], run: int = RUN) -> float:
@@ -49,25 +47,37 @@ def features(words: list[str]) -> np.ndarray:
     out = np.zeros((4, BUCKETS), np.float32)
     if not words:
         return out.ravel()
-    known: dict[str, int] = {}
     # by content, as a bucket must mean the same in every text
-    ids = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), np.uint64, len(words))
+    ids = np.fromiter(map(_word_hash, words), np.uint64, len(words))
     text = np.frombuffer(" ".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
     with np.errstate(over="ignore"):
-        mixed = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        for row, (base, n) in enumerate(((mixed, 1), (mixed, 2), (mixed, 4), (text, 12))):
-            if len(base) < n:
-                continue
-            h = np.zeros(len(base) - n + 1, np.uint64)
-            for j in range(n):
-                h = h * np.uint64(0x100000001B3) + base[j : len(base) - n + 1 + j]
-            h ^= h >> np.uint64(29)
-            _, at, counts = np.unique(h, return_index=True, return_counts=True)
-            more = counts > 1
-            np.add.at(out[row], (h[at[more]] * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % BUCKETS, (counts[more] - 1) / len(h))
+        two = _joined(_spread(ids), 1)
+        four = _joined(_joined(_spread(text), 1), 2)
+        for row, h in enumerate((_spread(ids), two, _joined(two, 2), _joined(_joined(four, 4)[: max(0, len(text) - 11)], 8, four))):
+            if len(h):
+                h.sort()
+                again = h[1:][h[1:] == h[:-1]]  # each occurrence but one of an n-gram
+                out[row] = np.bincount((again >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS) / len(h)
     return out.ravel()
 
 
+@lru_cache(1 << 16)
+def _word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _joined(h: np.ndarray, by: int, more: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of n-grams of both: of each n-gram of h and of the one of more (or h) that begins by places further on."""
+    other = (h if more is None else more)[by:]
+    n = min(len(h), len(other))
+    return _spread(h[:n] * np.uint64(0x9E3779B97F4A7C15) + other[:n])
+
+
 class Model(NamedTuple):
     weights: np.ndarray
     bias: float
@@ -127,24 +137,32 @@ def train(documents: DataFrame, share: float, rows: int) -> Model:
     return fit(np.array(got.x.tolist(), np.float64), got.y.to_numpy())
 
 
-def repetition(documents: DataFrame, share: float = 0.3, sample_rows: int = 3000) -> DataFrame:
-    """(doc_id, n_words, repeated_share, score): for every document its share of repeated words and the calibrated probability that it is repetitive.
+def scores(documents: DataFrame, model: Model, above: float | None = None) -> DataFrame:
+    """(doc_id, n_words, repeated_share, score): the model's score of every document and its share of repeated words, measured exactly.
 
-    Whole texts are measured. Null, empty and wordless texts have share 0. Equal ids give a row each. Documents go through in Arrow
-    batches without a shuffle; only the model (some hundred numbers) is sent to the tasks.
+    above: only documents that score as much are measured and come out. Documents go through in Arrow batches without a shuffle; only the
+    model (some hundred numbers) is sent to the tasks.
     """
-    model = train(documents, share, sample_rows)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             words = [words_of(t) for t in b.text]
-            x = np.stack([features(w) for w in words]) if words else np.zeros((0, 4 * BUCKETS), np.float32)
-            yield pd.DataFrame({"doc_id": b.doc_id, "n_words": [len(w) for w in words], "repeated_share": [repeated_share(w) for w in words], "score": model.score(x)})
+            score = model.score(np.stack([features(w) for w in words]) if words else np.zeros((0, 4 * BUCKETS), np.float32))
+            at = np.flatnonzero(score >= above) if above is not None else np.arange(len(b))
+            yield pd.DataFrame({"doc_id": b.doc_id.to_numpy()[at], "n_words": [len(words[i]) for i in at], "repeated_share": [repeated_share(words[i]) for i in at], "score": score[at]})
 
     return documents.select("doc_id", "text").mapInPandas(scored, "doc_id bigint, n_words bigint, repeated_share double, score double")
 
 
+def repetition(documents: DataFrame, share: float = 0.3, sample_rows: int = 3000) -> DataFrame:
+    """(doc_id, n_words, repeated_share, score): for every document its share of repeated words and the calibrated probability that it is repetitive.
+
+    Whole texts are measured. Null, empty and wordless texts have share 0. Equal ids give a row each.
+    """
+    return scores(documents, train(documents, share, sample_rows))
+
+
 def repetitive(documents: DataFrame, share: float = 0.3, threshold: float = 0.005, sample_rows: int = 3000) -> DataFrame:
     """(doc_id): the distinct documents whose score reaches threshold and whose repeated share, measured exactly, reaches share."""
-    found = repetition(documents, share, sample_rows)
-    return found.filter((F.col("score") >= threshold) & (F.col("repeated_share") >= share - 1e-12)).select("doc_id").distinct()
+    found = scores(documents, train(documents, share, sample_rows), threshold)
+    return found.filter(F.col("repeated_share") >= share - 1e-12).select("doc_id").distinct()
