@@ -22,22 +22,21 @@ def _normal(unit: str) -> str:
 
 _TRUNCATED = rf"""WITH every_row AS (SELECT rid, source, description FROM catalog_left UNION ALL SELECT rid, source, description FROM catalog_right UNION ALL SELECT rid, source, description FROM listings),
 t AS (SELECT rid, coalesce(source, '') AS source, length(description) AS size, regexp_matches(right(description, 12), '{_MARK}') AS mark, {_units('description')} AS units FROM every_row WHERE trim(description) <> ''),
-lengths AS (SELECT source, size, count(*) AS n FROM t GROUP BY ALL),
-tops AS (SELECT source, max(size) AS top FROM lengths GROUP BY 1),
-usual AS (SELECT source, top, sum(CASE WHEN size < top - 1 THEN n ELSE 0 END) / 40 AS usual FROM lengths JOIN tops USING (source) WHERE size >= top - 41 GROUP BY ALL),
-peaks AS (SELECT source, size, top FROM lengths JOIN usual USING (source) WHERE size >= top - 1 AND n >= greatest(5, 3.0 * usual)),
-hits AS (SELECT source, size FROM peaks WHERE source IN (SELECT source FROM peaks WHERE size = top)),
-r AS (SELECT t.*, h.size IS NOT NULL AS hit FROM t LEFT JOIN hits h ON t.source = h.source AND t.size = h.size),
-said AS (SELECT unnest(CASE WHEN mark OR hit THEN units[1:len(units) - 1] ELSE units END) AS unit FROM r),
+said AS (SELECT unnest(units) AS unit FROM t),
 counted AS (SELECT {_normal('unit')} AS words, count(*) AS n FROM said GROUP BY 1),
 split_words AS (SELECT list_concat(['<s>', '<s>'], string_split(words, ' ')) AS w, n FROM counted WHERE words <> ''),
 grams AS (SELECT w[i] || ' ' || w[i + 1] AS head, w[i + 2] AS last, sum(CASE WHEN i + 2 < len(w) THEN n ELSE 0 END) AS n, sum(CASE WHEN i + 2 = len(w) THEN n ELSE 0 END) AS n_end FROM (SELECT w, n, unnest(range(1, len(w) - 1)) AS i FROM split_words) GROUP BY 1, 2),
-tails AS (SELECT rid, mark, hit, list_concat(['<s>', '<s>'], string_split({_normal('units[-1]')}, ' ')) AS w FROM r),
-ends AS (SELECT rid, mark, hit, w[-3] || ' ' || w[-2] AS head, w[-1] AS last FROM tails),
-asked AS (SELECT DISTINCT head, last FROM ends WHERE last <> '' AND NOT mark AND NOT hit),
-begun AS (SELECT a.head, a.last, sum(g.n) AS n_in FROM asked a JOIN grams g ON a.head = g.head AND starts_with(g.last, a.last) WHERE g.n > 0 GROUP BY ALL),
-rare AS (SELECT a.head, a.last FROM asked a LEFT JOIN begun b ON a.head = b.head AND a.last = b.last LEFT JOIN grams g ON a.head = g.head AND a.last = g.last
-  WHERE coalesce(n_in, 0) >= 5 AND coalesce(g.n_end, 0) < 0.03 * (coalesce(n_in, 0) + coalesce(g.n_end, 0)))
-SELECT DISTINCT rid FROM ends e WHERE mark OR hit OR EXISTS (SELECT 1 FROM rare r WHERE r.head = e.head AND r.last = e.last)"""
-
-ORACLES: dict[str, str] = {"p7_found": _TRUNCATED}
+tails AS (SELECT rid, source, size, mark, regexp_matches(coalesce(units[-1], ''), '(^|[^.])[.!?]\s*$') AS closed, list_concat(['<s>', '<s>'], string_split({_normal('units[-1]')}, ' ')) AS w FROM t),
+ends AS (SELECT rid, source, size, mark, closed, w[-3] || ' ' || w[-2] AS head, w[-1] AS last FROM tails),
+asked AS (SELECT DISTINCT head, last, closed FROM ends WHERE last <> ''),
+rare AS (SELECT a.head, a.last, a.closed FROM asked a JOIN grams g ON a.head = g.head AND starts_with(g.last, a.last) GROUP BY ALL
+  HAVING sum(CASE WHEN g.last = a.last THEN g.n_end ELSE 0 END) < CASE WHEN a.closed THEN 0.04 ELSE 0.08 END * sum(CASE WHEN g.last = a.last THEN g.n + g.n_end WHEN a.closed THEN 0 ELSE g.n + g.n_end END)),
+judged AS (SELECT e.*, r.head IS NOT NULL AS cut FROM ends e LEFT JOIN rare r ON r.head = e.head AND r.last = e.last AND r.closed = e.closed),
+shares AS (SELECT source, size, count(*) AS n, count(*) FILTER (cut) / count(*) AS p FROM judged GROUP BY 1, 2),
+hits AS (SELECT source, size FROM shares WHERE p > 0 AND (p + 4.0 / (2 * n) - 2 * sqrt(p * (1 - p) / n + 4.0 / (4 * n * n))) / (1 + 4.0 / n) > 0.4),
+signs AS (SELECT rid, j.source, cut OR mark OR h.size IS NOT NULL AS gone FROM judged j LEFT JOIN hits h ON h.source = j.source AND h.size = j.size)"""
+
+ORACLES: dict[str, str] = {
+    "p7_found": f"{_TRUNCATED} SELECT DISTINCT rid FROM signs WHERE gone",
+    "p7_rates": f"""{_TRUNCATED} SELECT source, count(DISTINCT rid) AS n_texts, count(DISTINCT rid) FILTER (gone) AS n_cut, round(count(DISTINCT rid) FILTER (gone) / count(DISTINCT rid), 6) AS share FROM signs GROUP BY source""",
+}

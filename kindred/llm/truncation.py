@@ -2,8 +2,9 @@
 
 Texts are split into units (sentences, fields of a list), and units are counted before anything is exploded, once for each spelling. For
 the last three words of every text it is counted how often they stand inside units and how often at the end of one, where a text could
-end; the last word may be part of a longer one. Words that are frequent inside and almost never at an end mark a cut. So do a mark of
-omission, markup that is left open, and a source's own greatest length where its texts pile up.
+end; if the last word is the beginning of a longer one after the same two words, each such place is inside. Words that are frequent inside and almost never
+at an end mark a cut. What the words cannot tell (a cut between two sentences) is told by two other signs, reported beside them: a
+mark of omission or markup left open, and a length of the source at which its texts pile up and most of them are cut by their words.
 """
 
 from __future__ import annotations
@@ -39,55 +40,59 @@ def _trigrams(words: Column) -> Column:
     )
 
 
-def limits(texts: DataFrame, at_least: int = 5, peak: float = 3.0) -> DataFrame:
-    """(source, size): lengths that a source cuts at: its greatest length, and that less one where blanks at the cut are dropped.
+def limits(texts: DataFrame, least: float = 0.4, z: float = 2.0) -> DataFrame:
+    """(source, size): lengths at which a source cuts its texts. texts: (source, size, cut), one row a text; cut: whether its words say so.
 
-    The greatest length counts if at least at_least texts have it, and peak times as many as have a shorter one on average (of the 40
-    lengths before). texts: (source, size), one row a text.
+    A source may have several limits. A length is one if the share of its texts that are cut is above least beyond chance: Wilson's lower
+    bound at z deviations, so three texts that are all cut are enough, one or two never are.
     """
-    lengths = texts.groupBy("source", "size").agg(F.count("*").alias("n"))
-    top = lengths.groupBy("source").agg(F.max("size").alias("top"))
-    near = lengths.join(top, "source").filter("size >= top - 41")
-    usual = near.groupBy("source", "top").agg((F.sum(F.when(F.col("size") < F.col("top") - 1, F.col("n")).otherwise(0)) / 40).alias("usual"))
-    found = near.filter("size >= top - 1").join(usual, ["source", "top"]).filter(F.col("n") >= F.greatest(F.lit(at_least), peak * F.col("usual")))
-    whole = found.filter("size = top").select("source")
-    return found.join(whole, "source", "left_semi").select("source", "size")
+    by = texts.groupBy("source", "size").agg(F.count("*").alias("n"), F.count_if("cut").alias("k"))
+    p, n = F.col("k") / F.col("n"), F.col("n")
+    low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return by.filter((F.col("k") > 0) & (low > least)).select("source", "size")
 
 
-def truncated(records: DataFrame, key: str = "rid", text: str = "description", source: str = "source", inside: int = 5, terminal: float = 0.03) -> DataFrame:
-    """(key, source, why): each distinct text of a record that was cut, with the first sign found: mark, limit or words.
+def signs(records: DataFrame, key: str = "rid", text: str = "description", source: str = "source", terminal: float = 0.08) -> DataFrame:
+    """(key, source, words, limit, mark): for each text of a record what says that it was cut.
 
-    inside: how often the last three words must stand inside units; terminal: the share of their occurrences at ends that is still
-    almost never. Null, empty and blank texts are never cut. Rows that stand twice are counted twice. A null source is a source of its own.
+    terminal: the share of their places at ends that is still almost never; half of it where a full stop follows. A text's own end is one of them, so its last words are
+    judged only where they stand about a dozen times elsewhere. Null, empty and blank texts give no row. Rows that stand twice
+    count twice. A null source is a source of its own.
     """
     rows = records.select(F.col(key).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text")).filter("trim(text) <> ''")
     mark = F.substr("text", F.greatest(F.length("text") - 11, F.lit(1))).rlike(_MARK)
     # texts are taken apart once; what follows reads units
     rows = stored(rows.select("id", "source", F.length("text").alias("size"), mark.alias("mark"), _units(F.col("text")).alias("units")), "units")
-    at = limits(rows.select("source", "size")).withColumn("hit", F.lit(True))  # two rows a source at most
-    rows = rows.join(F.broadcast(at), ["source", "size"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    # every unit as typed is counted before its words are looked at; the last unit of a text known to be cut is no witness of an end
-    witnesses = F.when(F.col("mark") | F.col("hit"), F.slice("units", 1, F.greatest(F.size("units") - 1, F.lit(0)))).otherwise(F.col("units"))
-    units = rows.select(F.explode(witnesses).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+    # every unit as typed is counted before its words are looked at
+    units = rows.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
     units = units.select(_normal(F.col("unit")).alias("words"), "n").filter("words <> ''").groupBy("words").agg(F.sum("n").alias("n"))
     units = units.select(F.split("words", " ").alias("words"), "n")
     grams = units.select(F.posexplode(_trigrams(F.col("words"))).alias("i", "t"), "n", (F.size("words") - 1).alias("at"))
     within = grams.groupBy("t.head", "t.last").agg(F.sum(F.when(F.col("i") < F.col("at"), F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("i") == F.col("at"), F.col("n")).otherwise(0)).alias("n_end"))
     within = stored(within, "trigrams")
-    rows = rows.select("id", "source", "mark", "hit", F.split(_normal(F.try_element_at("units", F.lit(-1))), " ").alias("w"))
+    end = F.try_element_at("units", F.lit(-1))
+    rows = rows.select("id", "source", "size", "mark", F.split(_normal(end), " ").alias("w"), F.coalesce(end.rlike(r"(?:^|[^.])[.!?]\s*$"), F.lit(False)).alias("closed"))
     word = lambda i: F.coalesce(F.get("w", F.size("w") - i), F.lit("<s>"))
-    rows = stored(rows.select("id", "source", "mark", "hit", F.concat_ws(" ", word(3), word(2)).alias("head"), F.get("w", F.size("w") - 1).alias("last")), "ends")
-    ends = rows.filter("last <> '' and not mark and not hit").select("head", "last").distinct()
-    # a last word may be the beginning of one that stands inside
-    heads = ends.select("head").distinct()
-    within = within.join(heads, "head", "left_semi")
-    begun = within.filter("n > 0").select("head", F.explode(F.transform(F.sequence(F.lit(1), F.length("last")), lambda i: F.substr(F.col("last"), F.lit(1), i))).alias("last"), "n")
-    begun = begun.groupBy("head", "last").agg(F.sum("n").alias("n_in"))
-    judged = ends.join(begun, ["head", "last"], "left").join(within.select("head", "last", "n_end"), ["head", "last"], "left").fillna(0, ["n_in", "n_end"])
-    rare = judged.filter((F.col("n_in") >= inside) & (F.col("n_end") < terminal * (F.col("n_in") + F.col("n_end")))).select("head", "last", F.lit(True).alias("words_cut"))
-    rows = rows.join(rare, ["head", "last"], "left")
-    why = F.when(F.col("mark"), "mark").when(F.col("hit"), "limit").when(F.col("words_cut"), "words")
-    return rows.select(F.col("id").alias(key), "source", why.alias("why")).filter("why is not null").distinct()
+    rows = stored(rows.select("id", "source", "size", "mark", "closed", F.concat_ws(" ", word(3), word(2)).alias("head"), F.get("w", F.size("w") - 1).alias("last")), "ends")
+    ends = rows.filter("last <> ''").select("head", "last", "closed").distinct()
+    within = within.join(ends.select("head").distinct(), "head", "left_semi")
+    # a last word may be the beginning of one that stands elsewhere; it is then inside, wherever that one stands, unless a full stop follows
+    longer = F.length("last")
+    begun = within.select("head", F.posexplode(F.transform(F.sequence(F.lit(1), longer), lambda i: F.substr(F.col("last"), F.lit(1), i))).alias("i", "begun"), F.col("n"), F.col("n_end"), longer.alias("longer"))
+    part = F.col("i") + 1 < F.col("longer")
+    begun = begun.groupBy("head", F.col("begun").alias("last")).agg(F.sum(F.when(part, F.col("n") + F.col("n_end")).otherwise(0)).alias("n_part"), F.sum(F.when(part, 0).otherwise(F.col("n"))).alias("n_whole"), F.sum(F.when(part, 0).otherwise(F.col("n_end"))).alias("n_end"))
+    n_in = F.col("n_whole") + F.when(F.col("closed"), 0).otherwise(F.col("n_part"))
+    rare = ends.join(begun, ["head", "last"]).filter(F.col("n_end") < F.when(F.col("closed"), terminal / 2).otherwise(terminal) * (n_in + F.col("n_end"))).select("head", "last", "closed", F.lit(True).alias("words"))
+    rows = stored(rows.join(rare, ["head", "last", "closed"], "left").select("id", "source", "size", "mark", F.coalesce("words", F.lit(False)).alias("words")), "judged")
+    at = limits(rows.select("source", "size", F.col("words").alias("cut"))).withColumn("limit", F.lit(True))
+    rows = rows.join(at, ["source", "size"], "left")
+    return rows.select(F.col("id").alias(key), "source", "words", F.coalesce("limit", F.lit(False)).alias("limit"), "mark")
+
+
+def truncated(records: DataFrame, key: str = "rid", text: str = "description", source: str = "source", terminal: float = 0.08) -> DataFrame:
+    """(key, source, why): each distinct text of a record that was cut, with all signs found, joined by commas: words, limit, mark."""
+    x = signs(records, key, text, source, terminal)
+    return x.select(key, "source", F.concat_ws(",", *[F.when(F.col(c), c) for c in ("words", "limit", "mark")]).alias("why")).filter("why <> ''").distinct()
 
 
 def rates(records: DataFrame, cut: DataFrame, text: str = "description", source: str = "source", key: str = "rid") -> DataFrame:
