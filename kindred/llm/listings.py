@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kindred.llm.products import KINDS, TOLERANCE, agreements, family_words, parsed, with_family, with_text
+from kindred.llm.products import KINDS, TOLERANCE, agreements, family_words, parsed, with_editions, with_family, with_text
 from kindred.session import stored
 
 GRAM_BUCKETS = 1 << 14
@@ -160,7 +160,7 @@ def group_listings(listings: DataFrame, brand_list: DataFrame, target_units: Dat
     """
     rows = stored(parsed(listings, brand_list, target_units), "parsed")
     families = stored(family_words(rows, brand_list), "families")
-    rows = with_family(rows, families).withColumn("variant", F.concat_ws(":", "edition", "part_of"))
+    rows = with_editions(with_family(rows, families), families).withColumn("variant", F.concat_ws(":", "edition", "part_of"))
     rows = stored(with_text(rows, families), "named")
     cosine = gram_cosine(text_weights(rows))
     in_block = rows.filter("family is not null").select("rid", "family", "variant", "text", "code", "brand_id", "q")

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_matches(spark: SparkSession, d: str) -> DataFrame:
-    columns = ("rid", "title", "description", "brand", "model")
+    columns = ("rid", "title", "description", "brand", "model", "price")
     left, right = table(spark, d, "catalog_left").select(*columns), table(spark, d, "catalog_right").select(*columns)
     pairs = matching.match(left, right, table(spark, d, "gold_mapping"), table(spark, d, "brand_list"), table(spark, d, "target_units"))
     return matching.matches(pairs).select("left_rid", "right_rid", "confidence")

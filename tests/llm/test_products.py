@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from kindred.llm import listings, matching
+from kindred.llm import listings, matching, products
 
 UNITS = [("length", "mm"), ("mass", "g"), ("volume", "ml"), ("power", "W"), ("storage", "MB"), ("temperature", "°C")]
 BRANDS = [(1, "Pereal Lovi", "Fuganaazu"), (2, "Sokira", None), (3, "Dehefart", None)]
@@ -88,21 +88,44 @@ def test_posterior_stays_finite():
 
 
 def test_buckets_find_the_near_ones(spark):
-    """Candidates of hyperplane tables against all pairs, on vectors of known cosine."""
+    """Candidates of hyperplane tables against all pairs, at the operator's own threshold: 0.9 of them or more."""
+    near, recall = 0.55, 0.9
     r = np.random.default_rng(3)
-    base = r.normal(size=(400, matching.DIM))
-    other = base + r.normal(size=base.shape) * 0.3
-    planes = np.random.default_rng(11).standard_normal((matching.DIM, 24 * 16))
+    base = r.normal(size=(1500, 64))
+    other = base + r.normal(size=base.shape) * r.uniform(0.2, 1.6, size=(1500, 1))
+    count, bits = matching.tables_for(3000, near, recall)
 
     def side(v, prefix):
-        v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        signs = (v @ planes > 0).reshape(len(v), 24, 16)
-        buckets = (signs * (1 << np.arange(16))).sum(2) + (np.arange(24) << 16)
-        code = np.packbits(signs.reshape(len(v), -1), axis=1).copy().view(np.int64)
-        rows = [(f"{prefix}{i}", [float(z) for z in x], [int(z) for z in k], [int(z) for z in c]) for i, (x, k, c) in enumerate(zip(v, buckets, code, strict=True))]
-        return v, spark.createDataFrame(rows, "rid string, vector array<float>, buckets array<int>, code array<bigint>")
+        v = np.round(v / np.linalg.norm(v, axis=1, keepdims=True) * matching.GRID) / matching.GRID
+        rows = [(f"{prefix}{i}", [float(z) for z in x], [int(z) for z in k], [int(z) for z in c]) for i, (x, k, c) in enumerate(zip(v, *matching.hashes(v, count, bits), strict=True))]
+        return v, spark.createDataFrame(rows, "rid string, vector array<float>, buckets array<bigint>, code array<bigint>")
 
     (u, a), (v, b) = side(base, "a"), side(other, "b")
-    near = {(f"a{i}", f"b{j}") for i, j in zip(*np.nonzero(u @ v.T >= 0.9), strict=True)}
-    got = {(r.left_rid, r.right_rid): r.cosine for r in matching.candidates(a, b, 0.5, 384).collect()}
-    assert len(near) > 300 and len(near & set(got)) / len(near) >= 0.9 and min(got.values()) >= 0.5
+    want = {(f"a{i}", f"b{j}") for i, j in zip(*np.nonzero(u @ v.T >= near + 1e-6), strict=True)}
+    got = {(r.left_rid, r.right_rid): r.cosine for r in matching.candidates(a, b, near).collect()}
+    assert len(want) > 1000 and len(want & set(got)) / len(want) >= 0.9 and min(got.values()) >= near
+
+
+def test_vectors_see_past_slips_and_partitions_play_no_part(spark, tables):
+    """A pair with neither the name nor a code in common is found by its vectors; the result is the same however the rows lie."""
+    a, ta = offers("L", 2)
+    b, tb = offers("R", 4)
+    empty = spark.createDataFrame([], "left_rid string, right_rid string, label int")
+    found = []
+    for n in (3, 11):
+        left, right = (spark.createDataFrame(r, SCHEMA).repartition(n) for r in (a, b))
+        x = matching.match(left, right, empty, *tables)
+        found.append(sorted((r.left_rid, r.right_rid, r.confidence) for r in matching.matches(x).collect()))
+    assert found[0] == found[1]
+    alone = x.filter("same_family = 0 and same_code = 0 and near_family = 1").collect()
+    assert any(ta[r.left_rid] == tb[r.right_rid] for r in alone)
+
+
+def test_editions_are_told_by_the_corpus(spark, tables):
+    rows = []
+    for i, (brand, family) in enumerate(FAMILIES):
+        rows += [(f"e{i}", f"{brand} {family} Neo Water Boiler", None, brand, None, ""), (f"f{i}", f"Kettle {family} Neo {brand}", None, brand, None, ""), (f"g{i}", f"{brand} {family} Kettle", None, brand, None, ""), (f"h{i}", f"{brand} Kettle {family}", None, brand, None, "")]
+    x = products.parsed(spark.createDataFrame(rows, SCHEMA), *tables)
+    families = products.family_words(x, tables[0])
+    got = {r.rid: r.edition for r in products.with_editions(products.with_family(x, families), families).collect()}
+    assert {v for k, v in got.items() if k[0] in "EF"} == {"neo"} and {v for k, v in got.items() if k[0] in "GH"} == {""}
