@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kindred.llm.products import KINDS, TOLERANCE, agreements, family_words, parsed, with_editions, with_family, with_text
+from kindred.operators.graph import connected
 from kindred.session import stored
 
 GRAM_BUCKETS = 1 << 14
@@ -152,7 +153,7 @@ def _assign(rows: DataFrame, profiles: DataFrame, cosine, near: float, need: int
     return best.filter(F.size(F.array_distinct(F.transform(rivals, lambda x: x["product"]))) == 1).select("rid", F.col("best.product").alias("product"))
 
 
-def group_listings(listings: DataFrame, brand_list: DataFrame, target_units: DataFrame, near: float = 0.6) -> DataFrame:
+def group_listings(listings: DataFrame, brand_list: DataFrame, target_units: DataFrame, near: float = 0.55) -> DataFrame:
     """(rid, product): for every listing with a rid the product group it belongs to; one that fits no other is a group of its own.
 
     Accessories are apart from what they are made for. A listing without code and quantities joins a family's product only if the family
@@ -216,11 +217,14 @@ def group_listings(listings: DataFrame, brand_list: DataFrame, target_units: Dat
     # 5. one maker's code is one product, even where titles spell the family in ways that no rule brings together, or leave it out: brands and codes
     # are the same here and titles are not, so quantities alone veto
     named = coded.drop("product").join(placed_codes, "rid").filter("brand_id is not null").groupBy("variant", "code", "brand_id").agg(F.min("product").alias("one"), F.collect_set("product").alias("products"))
-    one = named.join(profiles.select(F.col("product").alias("one"), "pq"), "one")
-    same = one.filter("size(products) > 1").select(F.explode("products").alias("product"), "one", "pq")
-    same = same.join(profiles.select("product", F.col("pq").alias("q")), "product").filter(conflict == 0).groupBy("product").agg(F.min("one").alias("one"))
-    out = out.join(same, "product", "left").withColumn("product", F.coalesce("one", "product")).drop("one")
-    out = out.join(one.select("variant", "code", "brand_id", "one", "pq"), ["variant", "code", "brand_id"], "left")
+    named = stored(named, "makers-codes")
+    met = named.filter("size(products) > 1").select("one", F.explode("products").alias("product")).filter("one <> product")
+    met = met.join(profiles.select(F.col("product").alias("one"), "pq"), "one").join(profiles.select("product", F.col("pq").alias("q")), "product").filter(conflict == 0)
+    # products that meet under several makers or codes are one, however long the chain
+    same = stored(connected(met.select(F.col("one").alias("a"), F.col("product").alias("b"))), "same")
+    out = out.join(same.toDF("product", "whole"), "product", "left").withColumn("product", F.coalesce("whole", "product")).drop("whole")
+    one = named.join(profiles.select(F.col("product").alias("one"), "pq"), "one").join(same.toDF("one", "whole"), "one", "left").select("variant", "code", "brand_id", F.coalesce("whole", "one").alias("one"), "pq")
+    out = out.join(one, ["variant", "code", "brand_id"], "left")
     return out.select("rid", F.coalesce("product", F.when(conflict == 0, F.col("one")), F.concat(F.lit("rid|"), F.col("rid"))).alias("product"))
 
 

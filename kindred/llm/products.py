@@ -40,7 +40,7 @@ def title_words(title: Column) -> Column:
 def three_letter_words(titles: DataFrame) -> DataFrame:
     """One row with an array words: words of three letters that stand before something else than a code's digits at least as often as before
     them. titles: (title). There are at most 26 to the third of them."""
-    alone = titles.select(F.explode(F.regexp_extract_all(plain(F.col("title")), F.lit(r"(?<![\p{L}\p{N}])([a-z]{3})(?![\p{L}\p{N}])"), F.lit(1))).alias("w"), F.lit(1).alias("n"), F.lit(0).alias("c"))
+    alone = titles.select(F.explode(F.regexp_extract_all(plain(F.col("title")), F.lit(r"(?<![\p{L}\p{N}])([a-z]{3})(?![\p{L}\p{N}]|[-/]\d)"), F.lit(1))).alias("w"), F.lit(1).alias("n"), F.lit(0).alias("c"))
     before = titles.select(F.explode(F.regexp_extract_all("title", F.lit(_APART), F.lit(1))).alias("w")).select(F.lower(F.substr("w", F.lit(1), F.lit(3))).alias("w"), F.lit(0).alias("n"), F.lit(1).alias("c"))
     by = alone.unionByName(before).groupBy("w").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).filter("c > 0 and n >= 2 * c")
     return by.agg(F.collect_list("w").alias("_not_codes"))
