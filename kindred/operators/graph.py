@@ -11,21 +11,22 @@ from kindred.session import prefix_sums, stored
 def connected(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, group): the least node of each node's component. links: (a, b); null ends and loops are left out.
 
-    Alternating stars: every node's larger neighbours are tied to the least of its neighbourhood, then its smaller ones, until nothing
-    changes; that takes about log squared of the longest path, and hubs shrink with every round.
+    Alternating stars: every node's larger neighbours are tied to the least of its neighbourhood, then its smaller ones, until all links are
+    stars around their least node; that takes about log squared of the longest path, and hubs shrink with every round.
     """
     edges = stored(links.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links0")
     for i in range(max_rounds):
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leaf")), F.struct(F.col("v").alias("node"), F.lit(0).alias("leaf")))).alias("e")).select("e.*")
+        # in a star a leaf has one link, and no node is both a leaf and a centre
+        if ends.groupBy("node").agg(F.sum("leaf").alias("n"), F.min("leaf").alias("centre")).filter("n > 1 or (n = 1 and centre = 0)").isEmpty():
+            roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("group"))
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("group")).unionByName(roots)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        new = stored(small, f"links{i + 1}")
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            roots = new.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("group"))
-            return new.select(F.col("u").alias("node"), F.col("v").alias("group")).unionByName(roots)
-        edges = new
+        edges = stored(small, f"links{i + 1}")
     raise RuntimeError(f"not finished after {max_rounds} rounds")
 
 

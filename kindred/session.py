@@ -15,9 +15,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests, one machine)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all run on one machine (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="kindred-")
@@ -25,17 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _tables(spark: SparkSession) -> str:
+    """Where this application's tables lie; others may share the folder."""
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a parquet table in the shared folder and read again: cuts the lineage, survives lost executors and gives later joins true sizes."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stored(spark: SparkSession) -> None:
-    """Deletes all tables that stored() wrote in this session's shared folder. Call it when the results that read them have been written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
+    """Deletes all tables that stored() wrote in this application. Call it when the results that read them have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -71,7 +71,9 @@ def test_stream(spark, tmp_path):
 
 
 def test_stored_tables_can_be_dropped(spark):
-    folder = Path(shared_dir(spark).removeprefix("file://")) / "tables"
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "tables" / spark.sparkContext.applicationId
+    other = folder.parent / "of-another-application"
+    other.mkdir(parents=True, exist_ok=True)
     assert stored(spark.range(3), "x").count() == 3 and list(folder.iterdir())
     drop_stored(spark)
-    assert not folder.exists()
+    assert not folder.exists() and other.exists()
