@@ -161,7 +161,7 @@ def group_listings(listings: DataFrame, brand_list: DataFrame, target_units: Dat
     """
     rows = stored(parsed(listings, brand_list, target_units), "parsed")
     families = stored(family_words(rows, brand_list), "families")
-    rows = with_editions(with_family(rows, families), families).withColumn("variant", F.concat_ws(":", "edition", "part_of"))
+    rows = stored(with_editions(with_family(rows, families), families).withColumn("variant", F.concat_ws(":", "edition", "part_of")), "with-editions")
     rows = stored(with_text(rows, families), "named")
     cosine = gram_cosine(text_weights(rows))
     in_block = rows.filter("family is not null").select("rid", "family", "variant", "text", "code", "brand_id", "q")
@@ -199,7 +199,7 @@ def group_listings(listings: DataFrame, brand_list: DataFrame, target_units: Dat
     sure = choice.groupBy("size").agg(F.count("*").alias("n"), F.first("product").alias("product")).filter("n = 1")
     sure = stored(sure.join(choice.groupBy("product").agg(F.count("*").alias("m")).filter("m = 1"), "product").select("size", "product"), "sure")
     sized_rows = fitting.join(sure.withColumnRenamed("product", "one"), F.col("product") == F.col("size"), "left").select("rid", F.coalesce("one", "product").alias("product"))
-    placed = placed.unionByName(joined).unionByName(sized_rows)
+    placed = stored(placed.unionByName(joined).unionByName(sized_rows), "placed-so-far")
     more = more.join(sure.select(F.col("size").alias("product")), "product", "left_anti").select(*profiles.columns)
     rest = rest.join(by_size.select("rid"), "rid", "left_anti")
     profiles = stored(profiles.unionByName(more), "profiles")
@@ -212,8 +212,8 @@ def group_listings(listings: DataFrame, brand_list: DataFrame, target_units: Dat
     fits = rest.join(sole, ["family", "variant"]).filter(_brands_fit()).filter(conflict == 0).filter(_cosine(cosine) >= near).select("rid", "product")
     silent = rest.join(only.select("family", "variant"), ["family", "variant"], "left_anti").withColumn("product", F.concat_ws("|", F.lit("family"), "family", "variant"))
     silent = _confirmed(silent, _profiles(silent, "product", block_words), cosine, near)
-    placed = placed.unionByName(last).unionByName(fits).unionByName(silent)
-    out = rows.join(placed.dropDuplicates(["rid"]), "rid", "left")
+    placed = stored(placed.unionByName(last).unionByName(fits).unionByName(silent).groupBy("rid").agg(F.min("product").alias("product")), "placed-at-last")
+    out = rows.select("rid", "variant", "code", "brand_id", "q").join(placed, "rid", "left")
     # 5. one maker's code is one product, even where titles spell the family in ways that no rule brings together, or leave it out: brands and codes
     # are the same here and titles are not, so quantities alone veto
     named = coded.drop("product").join(placed_codes, "rid").filter("brand_id is not null").groupBy("variant", "code", "brand_id").agg(F.min("product").alias("one"), F.collect_set("product").alias("products"))
