@@ -51,3 +51,26 @@ def group_split(groups: DataFrame, dev_share: float = 0.4, seed: int = 13) -> Da
 def split_statistics(manifest: DataFrame) -> DataFrame:
     """(split, source, n): records by split and source."""
     return manifest.groupBy("split", "source").agg(F.count("*").alias("n"))
+
+
+def manifest(split: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(source, rid, split): each record of either side (source, rid) with its split (side, rid, split)."""
+    of = lambda side, records: records.select("source", "rid").distinct().join(split.filter(F.col("side") == side).select("rid", "split"), "rid").select("source", "rid", "split")
+    return of("L", left).unionByName(of("R", right))
+
+
+def gold_by_split(gold: DataFrame, split: DataFrame) -> DataFrame:
+    """(split, n): gold pairs (left_rid, right_rid) by the split of their left record."""
+    at = split.filter("side = 'L'").select(F.col("rid").alias("left_rid"), "split")
+    return gold.select("left_rid", "right_rid").distinct().join(at, "left_rid").groupBy("split").agg(F.count("*").alias("n"))
+
+
+def with_split(pairs: DataFrame, split: DataFrame) -> DataFrame:
+    """pairs with the split of their left record, which alone decides; null for a record without one."""
+    return pairs.join(split.filter("side = 'L'").select(F.col("rid").alias("left_rid"), "split"), "left_rid", "left")
+
+
+def sample_left(pairs: DataFrame, n: int, seed: int = 7) -> DataFrame:
+    """The pairs of n left records, those with the smallest hash: a sample for the judge that is the same on every run."""
+    chosen = pairs.select("left_rid").distinct().orderBy(F.xxhash64("left_rid", F.lit(seed)), "left_rid").limit(n)
+    return pairs.join(chosen, "left_rid", "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +16,21 @@ def with_human(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
     return pairs.join(latest, ["left_rid", "right_rid"], "left").withColumn("human_decision", F.coalesce("human_decision", F.lit("")))
 
 
+# The columns of what leaves the pipeline.
+MAPPING_COLUMNS = ["left_rid", "right_rid", "left_title", "right_title", "decision", "human_decision", "fuzzy_score", "jev_score", "material_diffs"]
+QUEUE_COLUMNS = ["left_rid", "right_rid", "left_title", "right_title", "human_decision", "fuzzy_score", "jev_score", "material_diffs", "rule_reason"]
+# End of the fixed values.
+
+
+def _with_score(pairs: DataFrame) -> DataFrame:
+    """pairs with jev_score: the judge's score by that name, or what judge_score holds, or null where no judge was asked."""
+    if "jev_score" in pairs.columns:
+        return pairs
+    return pairs.withColumn("jev_score", F.col("judge_score") if "judge_score" in pairs.columns else F.lit(None).cast("double"))
+
+
 def accepted(pairs: DataFrame) -> DataFrame:
-    columns = ["left_rid", "right_rid", "left_title", "right_title", "decision", "human_decision", "fuzzy_score", "judge_score", "material_diffs"]
-    return pairs.filter(final_match()).select(*[c for c in columns if c in pairs.columns])
+    return _with_score(pairs.filter(final_match())).select(MAPPING_COLUMNS)
 
 
 def unmatched(left: DataFrame, right: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -27,8 +41,25 @@ def unmatched(left: DataFrame, right: DataFrame, mapping: DataFrame) -> DataFram
 
 
 def review_queue(pairs: DataFrame) -> DataFrame:
-    columns = ["left_rid", "right_rid", "left_title", "right_title", "human_decision", "fuzzy_score", "judge_score", "material_diffs", "rule_reason"]
-    return pairs.filter("decision = 'review'").select(*[c for c in columns if c in pairs.columns])
+    return _with_score(pairs.filter("decision = 'review'")).select(QUEUE_COLUMNS)
+
+
+def bundle(pairs: DataFrame, left: DataFrame, right: DataFrame) -> dict[str, DataFrame]:
+    """The three tables of an export by name: mappings, unmatched, review_queue."""
+    mappings = accepted(pairs)
+    return {"mappings": mappings, "unmatched": unmatched(left, right, mappings), "review_queue": review_queue(pairs)}
+
+
+def decided(pairs: DataFrame, verdict: str, at: datetime) -> DataFrame:
+    """(left_rid, right_rid, human_decision, ts): rows to append to the decisions of people: every pair accepted, rejected or '' (taken back) at a time."""
+    if verdict not in ("accepted", "rejected", ""):
+        raise ValueError(verdict)
+    return pairs.select("left_rid", "right_rid", F.lit(verdict).alias("human_decision"), F.lit(at).alias("ts")).distinct()
+
+
+def decision_counts(pairs: DataFrame, decision: str = "decision") -> DataFrame:
+    """(decision, n): how many pairs got each decision."""
+    return pairs.groupBy(F.col(decision).alias("decision")).agg(F.count("*").alias("n"))
 
 
 def search(pairs: DataFrame, pattern: str | None = None, decisions: list[str] | None = None, only_different: bool = False) -> DataFrame:

@@ -28,7 +28,7 @@ COMMON = {"mm": "mm", "g": "g", "ml": "ml", "W": "w", "MB": "mb", "°C": "c"}
 #: spellings, lower case, without dots and blanks
 SPELLINGS: dict[str, str] = {
     "mm": "mm millimetre millimetres millimeter millimeters", "cm": "cm centimetre centimetres centimeter centimeters",
-    "m": "m metre metres meter meters", "in": "in inch inches \" '' ” ″", "ft": "ft foot feet ' ’ ′",
+    "m": "m metre metres meter meters", "in": "in inch inches \" '' ” ″", "ft": "ft foot feet ' ’ ′", "yd": "yd yds yard yards", "mg": "mg milligram milligrams", "pt": "pint pints",
     "kg": "kg kgs kilo kilos kilogram kilograms", "g": "g gr gm gms gram grams", "oz": "oz ounce ounces", "lb": "lb lbs pound pounds",
     "ml": "ml millilitre millilitres milliliter milliliters", "cl": "cl centilitre centilitres centiliter centiliters",
     "l": "l ltr ltrs litre litres liter liters", "floz": "floz fluidounce fluidounces", "qt": "qt qts quart quarts", "gal": "gal gals gallon gallons",
@@ -77,7 +77,7 @@ _IN = r"in\b(?! (?:\d|its |the |our |tests|a |an |all |use|one |store))"
 _DEG = r"(?:degrees?|deg\.?) ?(?:celsius|centigrade|fahrenheit|c\b|f\b)|[°º] ?[cf]\b"
 _UNIT = (
     rf"(?:milli(?:met(?:re|er)s?|lit(?:re|er)s?)\b|centi(?:met(?:re|er)s?|lit(?:re|er)s?)\b|met(?:re|er)s?\b|lit(?:re|er)s?\b|ltrs?\b|mm\b|cm\b|ml\b|cl\b|mb\b|inch(?:es)?\b|{_IN}"
-    r"|feet\b|foot\b|ft\b|fl\.? ?oz\b|fluid[ -]ounces?\b|ounces?\b|oz\b|kilo(?:gram)?s?\b|kgs?\b|grams?\b|gms?\b|gr\b|g\b|pounds?\b|lbs?\b|gallons?\b|gals?\b|quarts?\b|qts?\b"
+    r"|feet\b|foot\b|ft\b|yards?\b|yds?\b|pints?\b|mg\b|milligrams?\b|fl\.? ?oz\b|fluid[ -]ounces?\b|ounces?\b|oz\b|kilo(?:gram)?s?\b|kgs?\b|grams?\b|gms?\b|gr\b|g\b|pounds?\b|lbs?\b|gallons?\b|gals?\b|quarts?\b|qts?\b"
     rf"|kilowatts?\b|kw\b|watts?\b|w\b|(?:mega|giga|tera)bytes?\b|gb\b|tb\b|{_DEG}|[cf]\b|l\b|m\b|''|\"|”|″|'(?!\w)|’(?!\w)|′)"
 )
 _LABEL = r"(?:net weight|weight|mass|power|size|length|height|width|depth|capacity|volume|memory|storage|space|temperature|dimensions|diameter)"

@@ -247,9 +247,14 @@ def pr_curve(spark: SparkSession, d: str) -> DataFrame:
     return x.select("threshold", "tp", "fp", F.round("precision", 9).alias("precision"), F.round("recall_e2e", 9).alias("recall_e2e"))
 
 
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of earlier runs that people have labelled, with that label."""
+    return _earlier(spark, d).drop("label").join(_gold(spark, d), ["left_rid", "right_rid"])
+
+
 @query
 def choose_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.choose_thresholds(_earlier(spark, d), "fuzzy_score", target_precision=0.05)
+    return evaluate.choose_thresholds(_known(spark, d), "fuzzy_score")
 
 
 @query
@@ -268,6 +273,41 @@ def group_split(spark: SparkSession, d: str) -> DataFrame:
     return graph.group_split(stored(product_groups(spark, d), "groups"))
 
 
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    """A split of the catalogs that this module and its SQL can both say: by the last digit of a group's name."""
+    groups = stored(product_groups(spark, d), "groups")
+    return groups.select("side", "rid", F.when(F.right("group", F.lit(1)).isin("0", "1", "2", "3"), "dev").otherwise("test").alias("split"))
+
+
+@query
+def split_manifest_rows(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (catalog.one_row_each(c.select("rid", "source")) for c in _both(spark, d))
+    return graph.manifest(_split(spark, d), a, b)
+
+
+@query
+def gold_by_split(spark: SparkSession, d: str) -> DataFrame:
+    return graph.gold_by_split(_true(spark, d), _split(spark, d))
+
+
+@query
+def metrics_by_split(spark: SparkSession, d: str) -> DataFrame:
+    x = evaluate.pair_metrics(graph.with_split(_earlier(spark, d), _split(spark, d)), _n_gold(spark, d), by=("split",))
+    return x.select("split", "pairs", "tp", "fp", "review_count")
+
+
+@query
+def matched_precision(spark: SparkSession, d: str) -> DataFrame:
+    """Thresholds and metrics by the fuzzy score on the labelled pairs of earlier runs."""
+    x = evaluate.matched_precision(stored(_known(spark, d), "known"), _n_gold(spark, d), {"fuzzy": "fuzzy_score"})
+    return x.select("method", "target_precision", F.round("hi", 9).alias("hi"), F.round("lo", 9).alias("lo"), "pairs", "tp", "fp", "review_count")
+
+
+@query
+def decision_counts(spark: SparkSession, d: str) -> DataFrame:
+    return report.decision_counts(_earlier(spark, d))
+
+
 @query
 def split_stats(spark: SparkSession, d: str) -> DataFrame:
     return graph.split_statistics(table(spark, d, "split_manifest"))

@@ -23,6 +23,7 @@ def found(spark, table, *texts):
 
 
 CASES = [
+    ("2 pints of paint", {("volume", 946)}), ("a 3 yards rope", {("length", 2743)}), ("1,500 mg", {("mass", 2)}),
     ("Lamp 27 CM tall", {("length", 270)}), ("2,07\xa0feet", {("length", 631)}), ("9,500 mm hose", {("length", 9500)}), ("0,81 Ltr", {("volume", 810)}),
     ("4½ quarts", {("volume", 4259)}), ("32-1/2 fl oz", {("volume", 961)}), ("1/2 kilowatts", {("power", 500)}), (".59qt", {("volume", 558)}), ("½ gal.", {("volume", 1893)}),
     ("7 lb 15 oz", {("mass", 3600)}), ("2lb3oz", {("mass", 992)}), ("5ft. 3in.", {("length", 1600)}), ("1'10\"", {("length", 559)}), ("six watts", {("power", 6)}),
