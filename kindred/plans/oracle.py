@@ -265,6 +265,10 @@ FROM parts p JOIN ratios t ON t.a = l.title_norm AND t.b = r.title_norm LEFT JOI
     "match_catalogs": f"{_MATCHED} SELECT left_rid, right_rid, rank, methods, rule_decision, round(fuzzy_score, 6) AS fuzzy_score, material_diffs, dec_fuzzy_rules AS decision FROM decided",
     "error_breakdown": f"""{_TABLE} SELECT error, category, count(*) AS count FROM (SELECT CASE WHEN dec_fuzzy_rules = 'match' AND label = 0 THEN 'false_match' WHEN dec_fuzzy_rules <> 'match' AND label = 1 THEN 'missed_match' END AS error,
   CASE WHEN capacity_detail <> '' THEN 'capacity/variant' WHEN accessory THEN 'accessory vs product' WHEN lq <> rq THEN 'quantity/multipack' WHEN bad_condition THEN 'condition' WHEN bundle THEN 'bundle' WHEN relation = 'conflict' THEN 'model number differs' WHEN relation = 'unknown' THEN 'identifier missing' ELSE 'wording' END AS category FROM decided) WHERE error IS NOT NULL GROUP BY 1, 2""",
+    "records_flat": f"""WITH {_RECORDS}, named_units AS (SELECT *, list_transform(caps, lambda z: z[1]) AS named_caps FROM records WHERE side = 'l')
+SELECT source, rid, title, description, brand, model, price_raw, title_norm, desc_norm, price, currency, brand_norm, explicit_model, array_to_string(model_tokens, ' ') AS model_tokens, pack_qty, condition,
+  '{{' || array_to_string(list_transform({_once('named_caps')}, lambda u: '"' || u || '":[' || array_to_string(list_transform(list_sort(list_distinct(list_transform(list_filter(caps, lambda z: z[1] = u), lambda z: CAST(z[2] AS DOUBLE)))), lambda v: CAST(v AS VARCHAR)), ',') || ']'), ',') || '}}' AS capacities,
+  accessory_hint, bundle_hint, array_to_string(compat_model_tokens, ' ') AS compat_model_tokens, array_to_string(desc_model_tokens, ' ') AS desc_model_tokens FROM named_units""",
     "visible_fields": f"WITH {_RECORDS} SELECT rid, {_JSON(('title', 'title'), ('description', 'description'), ('brand', 'brand'), ('model', 'model'), ('price', 'price_raw'))} AS fields FROM records",
     "pair_attributes": f"""WITH {_RECORDS},{_PAIR} SELECT left_rid, right_rid, label,
   CASE WHEN len(lm) = 0 OR len(rm) = 0 THEN 'unknown' WHEN len(shared) > 0 AND {_related('lo', 'ro', _NEAR.format(3))} THEN 'variant' WHEN len(shared) > 0 THEN 'agree' WHEN {_related('lm', 'rm', _NEAR.format(2))} THEN 'variant' WHEN {_related('lm', 'rm', '')} THEN 'prefix' ELSE 'conflict' END AS model_relation,

@@ -19,10 +19,9 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         reader = spark.read.options(header=True, inferSchema=False, multiLine=True, escape='"', quote='"', encoding=encoding, nullValue="\u0000", emptyValue="")
         return reader.csv(path).fillna("")
 
-    first = read("UTF-8")
-    # a byte that is no UTF-8 is read as the replacement character; whether there is one is asked without a scan of the rest
-    broken = first.filter(F.concat_ws(" ", *[f"`{c}`" for c in first.columns]).contains("�")).limit(1)
-    return read("ISO-8859-1") if not broken.isEmpty() else first
+    # lines of text are read as the bytes they are, so bytes that are no UTF-8 are told from a replacement character that a file really holds
+    broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
+    return read("UTF-8" if broken.isEmpty() else "ISO-8859-1")
 
 
 @dataclass(frozen=True)

@@ -70,6 +70,12 @@ def test_stream(spark, tmp_path):
     assert [(r.left_rid, r.right_rid) for r in got] == [("l1", "r1")]
 
 
+def test_a_replacement_character_is_no_other_encoding(spark, tmp_path):
+    (tmp_path / "u.csv").write_bytes("id,name\n1,caf\u00e9 \ufffd\n".encode())
+    (tmp_path / "l.csv").write_bytes("id,name\n1,caf\u00e9\n".encode("latin-1"))
+    assert [files.read_csv(spark, str(tmp_path / f)).first()["name"] for f in ("u.csv", "l.csv")] == ["caf\u00e9 \ufffd", "caf\u00e9"]
+
+
 def test_stored_tables_can_be_dropped(spark):
     folder = Path(shared_dir(spark).removeprefix("file://")) / "tables" / spark.sparkContext.applicationId
     other = folder.parent / "of-another-application"
