@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+from kindred import session
 from kindred.llm import listings, matching, products
 
 UNITS = [("length", "mm"), ("mass", "g"), ("volume", "ml"), ("power", "W"), ("storage", "MB"), ("temperature", "°C")]
@@ -106,6 +109,47 @@ def test_buckets_find_the_near_ones(spark):
     assert len(want) > 1000 and len(want & set(got)) / len(want) >= 0.9 and min(got.values()) >= near
 
 
+def test_slices_of_hash_tables_find_the_same(spark, monkeypatch):
+    """A few hash tables at a time find what all of them at once find; no join sees the buckets of more of them, however many the corpus needs."""
+    near, r = 0.6, np.random.default_rng(3)
+    base = r.normal(size=(300, matching.DIM + matching.FIXED))
+    count, bits = 23, 6
+    v = np.vstack([base, base + r.normal(size=base.shape) * r.uniform(0.2, 1.6, size=(300, 1))])
+    v = np.round(v / np.linalg.norm(v, axis=1, keepdims=True) * matching.GRID) / matching.GRID
+    rows = [(f"r{i}", i < 300, bytearray((x * matching.GRID).astype(np.int16).tobytes()), [int(z) for z in c]) for i, (x, c) in enumerate(zip(v, matching.signs(v, count, bits), strict=True))]
+    found = spark.createDataFrame(rows, "rid string, is_left boolean, grid binary, code array<bigint>")
+    whole = [(f"r{i}", i < 300, bytearray(x), [int(z) for z in k], [int(z) for z in c]) for i, (x, k, c) in enumerate(zip(matching.in_bytes(v), *matching.hashes(v, count, bits), strict=True))]
+    whole = spark.createDataFrame(whole, "rid string, is_left boolean, vector binary, buckets array<int>, code array<bigint>")
+    want = sorted(matching.candidates(whole.filter("is_left"), whole.filter("not is_left"), near).collect())
+    sizes, sharing = [], matching.sharing
+
+    def counted(left, right, *rest):
+        sizes.append(left.selectExpr("max(size(buckets))").first()[0])
+        return sharing(left, right, *rest)
+
+    monkeypatch.setattr(matching, "sharing", counted)
+    monkeypatch.setattr(matching, "SLICE_ROWS", 600 * 5)
+    assert sorted(matching._met(found, 600, count, bits, near).collect()) == want and len(want) > 100
+    assert sizes == [5, 5, 5, 5, 3]
+
+
+def test_match_leaves_only_its_result_on_disk(spark, tables, monkeypatch, tmp_path):
+    """What match() wrote on its way is deleted as soon as nothing reads it: stored tables and shuffle files."""
+    monkeypatch.setattr(session, "_tables", lambda _: f"file://{tmp_path}")
+    local = [str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    shuffled = lambda: {p for d in local for p in Path(d).rglob("shuffle_*.data")}
+    earlier, codec = shuffled(), spark.conf.get("spark.sql.parquet.compression.codec")
+    (a, ta), (b, tb) = offers("L", 2), offers("R", 4)
+    gold = spark.createDataFrame([(x, y, int(ta[x] == tb[y])) for x in ta for y in tb if ta[x][0] == tb[y][0]], "left_rid string, right_rid string, label int")
+    x = matching.match(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), gold, *tables)
+    assert [p.name.rpartition("-")[0] for p in tmp_path.iterdir()] == ["compared"]
+    until = time.time() + 20
+    while len(left := shuffled() - earlier) > 2 and time.time() < until:
+        time.sleep(0.2)
+    assert len(left) <= 2, left
+    assert matching.matches(x).count() > 0 and spark.conf.get("spark.sql.parquet.compression.codec") == codec
+
+
 def test_vectors_see_past_slips_and_partitions_play_no_part(spark, tables):
     """A pair with neither the name nor a code in common is found by its vectors; the result is the same however the rows lie."""
     a, ta = offers("L", 2)
