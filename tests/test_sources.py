@@ -3,11 +3,12 @@ from __future__ import annotations
 import hashlib
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from kindred.operators.blocking import identifier_postings
 from kindred.operators.catalog import build_records, guess_columns
-from kindred.session import drop_stored, prefix_sums, shared_dir, stored
+from kindred.session import drop_stored, forget, lean, prefix_sums, shared_dir, stored
 from kindred.sources import files
 from kindred.streaming.incremental import match_stream
 
@@ -83,3 +84,31 @@ def test_stored_tables_can_be_dropped(spark):
     assert stored(spark.range(3), "x").count() == 3 and list(folder.iterdir())
     drop_stored(spark)
     assert not folder.exists() and other.exists()
+
+
+def test_functions_that_name_our_modules_can_be_sent():
+    """The package goes to the executors by value, so no module of it may hold what cannot be pickled."""
+    from pyspark import cloudpickle
+
+    from kindred import session
+    from kindred.operators import judge
+
+    assert cloudpickle.dumps(lambda _: (judge.Retry, session.stored))
+
+
+def test_lean_blocks_forget_their_own_tables_only(spark):
+    one = spark.range(3)
+    kept = stored(one, "x")
+    with lean(spark):
+        outer = stored(one, "x")
+        with lean(spark):
+            inner = stored(one, "x")
+            forget(spark, "x")
+            assert outer.count() == 3
+            with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+                inner.count()
+        forget(spark, "x")
+        with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+            outer.count()
+    forget(spark, "x")
+    assert kept.count() == 3
